@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup
-from tessera.llm.common import documents
+from tessera.llm import bpe, language, line_dedup, packing
+from tessera.llm.common import documents, remainder
+
+
+def op3_bpe(spark: SparkSession, d: str) -> DataFrame:
+    files = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = documents(spark, d).select("doc_id", bpe.encoder(*files)("text").alias("ids"))
+    coded = coded.select("doc_id", "ids", bpe.decoder(*files)("ids").alias("decoded"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -16,9 +24,21 @@ def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_packing(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d).select("doc_id", "text")
+    out = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op10_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d).select("doc_id", "text", "lang").withColumn("held_out", remainder("doc_id", 4) == 2)
+    out = language.identify(docs, docs.where("not held_out"))
+    return out.select("doc_id", "held_out", "language.lang_pred", "language.score", "language.languages", "language.shares")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op6_line_dedup": op6_line_dedup,
-}
+    "op3_bpe": op3_bpe, "op6_line_dedup": op6_line_dedup, "op9_packing": op9_packing, "op10_language_id": op10_language_id,
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_line_dedup": r"""
