@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, line_dedup, packing
+from tessera.llm import bpe, language, line_dedup, minhash, packing
 from tessera.llm.common import documents, remainder
 
 
@@ -19,6 +19,11 @@ def op3_bpe(spark: SparkSession, d: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_minhash(spark: SparkSession, d: str) -> DataFrame:
+    out = minhash.components_of(documents(spark, d).select("doc_id", "text"), words=3, percent=85)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     out = line_dedup.dedup_lines(documents(spark, d).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -37,7 +42,7 @@ def op10_language_id(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_bpe": op3_bpe, "op6_line_dedup": op6_line_dedup, "op9_packing": op9_packing, "op10_language_id": op10_language_id,
+    "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op6_line_dedup": op6_line_dedup, "op9_packing": op9_packing, "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
