@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, line_dedup, minhash, packing
+from tessera.llm import bpe, divergence, language, line_dedup, minhash, packing
 from tessera.llm.common import documents, remainder
 
 
+def op1_divergence(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d).select("doc_id", "text", "lang")
+    out = divergence.judge(docs, divergence.references(docs))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "word_js", "class_js")
+
+
 def op3_bpe(spark: SparkSession, d: str) -> DataFrame:
     files = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     coded = documents(spark, d).select("doc_id", bpe.encoder(*files)("text").alias("ids"))
@@ -42,7 +48,7 @@ def op10_language_id(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op6_line_dedup": op6_line_dedup, "op9_packing": op9_packing, "op10_language_id": op10_language_id,
+    "op1_divergence": op1_divergence, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op6_line_dedup": op6_line_dedup, "op9_packing": op9_packing, "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
