@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, divergence, language, line_dedup, minhash, packing
+from tessera.llm import bpe, divergence, language, line_dedup, minhash, packing, parsing
 from tessera.llm.common import documents, remainder
 
 
@@ -30,6 +30,10 @@ def op4_minhash(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+def op5_parsing(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.compare_neighbours(documents(spark, d).select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     out = line_dedup.dedup_lines(documents(spark, d).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -48,7 +52,7 @@ def op10_language_id(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_divergence": op1_divergence, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op6_line_dedup": op6_line_dedup, "op9_packing": op9_packing, "op10_language_id": op10_language_id,
+    "op1_divergence": op1_divergence, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_parsing": op5_parsing, "op6_line_dedup": op6_line_dedup, "op9_packing": op9_packing, "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
