@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 #: Code points of a chunk and of its overlap with the next; look-ahead of the pattern; pieces whose ids are remembered.
-CHUNK, OVERLAP, LOOK, REMEMBERED = 1 << 14, 256, 4, 400_000
+CHUNK, OVERLAP, LOOK, REMEMBERED = 1 << 14, 256, 4, 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

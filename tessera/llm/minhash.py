@@ -27,7 +27,7 @@ from tessera.llm.common import cut
 from tessera.llm.components import components
 
 #: Coordinates of a band; chance to miss a pair at the very threshold; documents of a block; words and coordinate cells at a time.
-ROWS, MISS, BLOCK, REMEMBERED, CELLS = 5, 1e-6, 512, 400_000, 1 << 18
+ROWS, MISS, BLOCK, REMEMBERED, CELLS = 5, 1e-6, 512, 150_000, 1 << 18
 
 _hashes: dict[bytes, int] = {}
 

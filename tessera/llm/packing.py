@@ -26,7 +26,7 @@ from tokenizers import Tokenizer
 from tessera.llm.common import cut
 
 #: Tokens of a sequence, of the longest piece besides whole sequences, id that ends a document, pieces of a bin, remembered pre-tokens.
-CAPACITY, LONGEST, END_ID, BIN, REMEMBERED = 1024, 256, 0, 2048, 400_000
+CAPACITY, LONGEST, END_ID, BIN, REMEMBERED = 1024, 256, 0, 2048, 150_000
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, bin_key long"
 

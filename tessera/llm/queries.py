@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, divergence, language, line_dedup, minhash, packing, parsing
+from tessera.llm import bpe, divergence, language, line_dedup, minhash, packing, parsing, toxicity
 from tessera.llm.common import documents, remainder
 
 
@@ -39,6 +39,14 @@ def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d).select("doc_id", "text")
+    labels = spark.read.parquet(f"{d}/labels.parquet").where(remainder("doc_id", 4) != 2)
+    score = toxicity.scorer(toxicity.fit(docs, labels))
+    out = docs.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), score("text").alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op9_packing(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d).select("doc_id", "text")
     out = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -52,7 +60,7 @@ def op10_language_id(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_divergence": op1_divergence, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_parsing": op5_parsing, "op6_line_dedup": op6_line_dedup, "op9_packing": op9_packing, "op10_language_id": op10_language_id,
+    "op1_divergence": op1_divergence, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_parsing": op5_parsing, "op6_line_dedup": op6_line_dedup, "op7_toxicity": op7_toxicity, "op9_packing": op9_packing, "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
