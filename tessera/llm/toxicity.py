@@ -24,7 +24,7 @@ SIZES, BUCKETS, DIMENSIONS, PASSAGE = (3, 4, 5), 1 << 17, 12, 16
 #: Training takes at most so many labelled documents of each class (those of the least hashed ids), of at most so many characters each.
 MOST_DOCS, MOST_CHARS = 2000, 100_000
 #: Rounds over random passages and over likeliest ones, passages of a document in a round, learning rate, bytes scored together.
-RANDOM, LIKELIEST, DRAWN, RATE, BATCH = 3, 7, 3, 0.3, 1 << 20
+RANDOM, LIKELIEST, DRAWN, RATE, BATCH = 8, 10, 3, 0.3, 1 << 20
 
 
 def normal(text: str | None) -> bytes:
