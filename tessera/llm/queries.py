@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, divergence, language, line_dedup, minhash, packing, parsing, toxicity
+from tessera.llm import bpe, divergence, language, line_dedup, minhash, packing, parsing, suffix_dedup, toxicity
 from tessera.llm.common import documents, remainder
 
 
@@ -47,6 +47,11 @@ def op7_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op8_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    out = suffix_dedup.dedup_substrings(documents(spark, d).select("doc_id", "text"))
+    return out.select("doc_id", "dedup.n_bytes", "dedup.n_removed", "dedup.n_spans", F.sha2("dedup.kept", 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d).select("doc_id", "text")
     out = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -60,7 +65,7 @@ def op10_language_id(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_divergence": op1_divergence, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_parsing": op5_parsing, "op6_line_dedup": op6_line_dedup, "op7_toxicity": op7_toxicity, "op9_packing": op9_packing, "op10_language_id": op10_language_id,
+    "op1_divergence": op1_divergence, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_parsing": op5_parsing, "op6_line_dedup": op6_line_dedup, "op7_toxicity": op7_toxicity, "op8_suffix_dedup": op8_suffix_dedup, "op9_packing": op9_packing, "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
