@@ -5,11 +5,16 @@ pattern looks ahead but never back: what follows a boundary depends only on the
 boundary in common inside their overlap, they agree from there on, and the second takes over. The last boundaries of a chunk
 can still be moved by text beyond its end and are left out. If an overlap has no common boundary (one giant run), the
 text from the last sure boundary is pre-tokenised again with a longer chunk, so results are always those of the whole text.
+
+A pre-token never goes on from another character to a space, so a text falls at its spaces into units that are
+encoded alike wherever they stand, unless a run of white space has a space inside or at the end of the text. Ids of units are
+remembered, and only new units are pre-tokenised and merged.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,8 +24,8 @@ import regex
 import tiktoken
 from pyspark.sql import functions as F
 
-#: Code points of a chunk and of its overlap with the next; look-ahead of the pattern; pieces whose ids are remembered.
-CHUNK, OVERLAP, LOOK, REMEMBERED = 1 << 14, 256, 4, 150_000
+#: Code points of a chunk and of its overlap with the next; look-ahead of the pattern; units whose ids are remembered.
+CHUNK, OVERLAP, LOOK, REMEMBERED = 1 << 14, 256, 4, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,6 +51,8 @@ def stitch(found: regex.Pattern, text: str, chunk: int = CHUNK, overlap: int = O
     parts = [chunk_boundaries(found, text, s, min(s + chunk, n)) for s in starts]
     out = parts[0]
     for s, part in zip(starts[1:], parts[1:]):
+        if out and out[-1] >= min(s + chunk, n):
+            continue  # a giant run has been followed to beyond this chunk
         low = np.searchsorted(out, s, side="right")
         shared = np.intersect1d(out[low:], part)
         if len(shared):
@@ -68,30 +75,42 @@ def stitch(found: regex.Pattern, text: str, chunk: int = CHUNK, overlap: int = O
 
 
 class Codec:
-    """Encoder and decoder of a rank file."""
+    """Encoder and decoder of a table of ranks."""
 
-    def __init__(self, path: str, pattern: str):
-        ranks = read_ranks(path)
-        self.found = regex.compile(pattern)
-        self.merge = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.found, self.odd = regex.compile(pattern), regex.compile(r"\s (?:\s|\Z)")
+        self.merge = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.known: dict[str, bytes] = {}
+        self.known_pieces: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str]:
-        if len(text) <= CHUNK:
-            return self.found.findall(text)
-        ends = stitch(self.found, text)
-        return [text[a:b] for a, b in zip([0, *ends], ends)]
+    def _merged(self, pieces: list[str]) -> bytes:
+        return b"".join([array("I", self.merge(p.encode())).tobytes() for p in pieces])
+
+    def _piece(self, text: str) -> bytes:
+        """Ids of a text up to a chunk."""
+        if self.odd.search(text):
+            return self._merged(self.found.findall(text))
+        first, *units = text.split(" ")
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        for unit in set(units).difference(known):
+            known[unit] = self._merged(self.found.findall(" " + unit))
+        return (self._merged(self.found.findall(first)) if first else b"") + b"".join(map(known.__getitem__, units))
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian int32."""
-        known, pieces = self.known, self.pieces(text)
+        """Ids as unsigned 32-bit numbers of the machine's byte order."""
+        if len(text) <= CHUNK:
+            return self._piece(text)
+        ends, known = stitch(self.found, text), self.known_pieces
+        pieces = [text[a:b] for a, b in zip([0, *ends], ends)]
         if len(known) > REMEMBERED:
             known.clear()
         for piece in set(pieces).difference(known):
-            known[piece] = np.array(self.merge(piece), "<i4").tobytes()
+            known[piece] = self._merged([piece])
         return b"".join(map(known.__getitem__, pieces))
 
     def decode(self, ids: list[int]) -> bytes:
@@ -100,7 +119,7 @@ class Codec:
 
 @lru_cache(2)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    return Codec(read_ranks(path), pattern)
 
 
 def encoder(path: str, pattern: str):

@@ -1,6 +1,6 @@
 """Packing documents into sequences by multiway Karmarkar-Karp differencing.
 
-Documents are tokenised once; only pieces (id, start, length, checksum) are shuffled. Whole sequences are cut off first, the
+Documents are tokenised once (ids are merged by rank, which gives the tokenizer file's ids where they count up in the order of merges, as is checked); only pieces (id, start, length, checksum) are shuffled. Whole sequences are cut off first, the
 rest of a document is cut into short pieces of one length and an end, and the pieces are dealt into bins of bounded size by a hash of row and
 place, so no key can make a bin large. In each bin, differencing merges the two partial partitions of largest spread, the
 large windows of one with the small windows of the other, until one near-equal partition is left. If a window
@@ -10,6 +10,7 @@ exceeds the capacity, the bin is packed again with one window more.
 from __future__ import annotations
 
 import heapq
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,16 +18,16 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from tessera.llm.bpe import Codec
 from tessera.llm.common import cut
 
-#: Tokens of a sequence, of the longest piece besides whole sequences, id that ends a document, pieces of a bin, remembered pre-tokens.
-CAPACITY, LONGEST, END_ID, BIN, REMEMBERED = 1024, 256, 0, 2048, 150_000
+#: Tokens of a sequence, of the longest piece besides whole sequences, id that ends a document, pieces of a bin.
+CAPACITY, LONGEST, END_ID, BIN = 1024, 256, 0, 2048
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, bin_key long"
 
@@ -74,22 +75,31 @@ def windows(sizes: list[int], capacity: int = CAPACITY) -> list[int]:
         m += 1
 
 
+def read_tokenizer(path: str) -> tuple[dict[bytes, int], list[str]]:
+    """Ranks of a byte-level BPE tokenizer's file whose ids count up in the order of its merges, and its special tokens."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    vocab, merges = file["model"]["vocab"], file["model"]["merges"]
+    for i, merge in enumerate(merges):
+        if vocab["".join(merge.split(" ") if isinstance(merge, str) else merge)] != 256 + i:
+            raise ValueError("ids are not in the order of merges")
+    # printable bytes stand for themselves in the file, the others for the characters from 256 on, in order
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    special = {t["content"] for t in file["added_tokens"]}
+    return {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in special}, sorted(special)
+
+
 class _Ids:
     def __init__(self, path: str, pattern: str):
-        self.tokenizer, self.found, self.known = Tokenizer.from_file(path), regex.compile(pattern), {}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ranks, self.special = read_tokenizer(path)
+        self.path, self.codec = path, Codec(ranks, pattern)
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text. Pre-tokens are merged once each, so a text costs one look-up for each; texts with the string of a special token go to the tokenizer whole."""
+        """Ids as the tokenizers library gives them; texts with the string of a special token go to that library itself."""
         if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        pieces, known = self.found.findall(text), self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        if new := list(set(pieces).difference(known)):
-            for piece, coded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[piece] = np.array(coded.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
+            return np.array(Tokenizer.from_file(self.path).encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.frombuffer(self.codec.encode(text), np.uint32)
 
 
 @lru_cache(2)
