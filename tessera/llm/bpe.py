@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 #: Code points of a chunk and of its overlap with the next; look-ahead of the pattern; units whose ids are remembered.
-CHUNK, OVERLAP, LOOK, REMEMBERED = 1 << 14, 256, 4, 300_000
+CHUNK, OVERLAP, LOOK, REMEMBERED = 1 << 16, 1024, 4, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
