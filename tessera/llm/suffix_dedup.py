@@ -185,25 +185,30 @@ def remove_spans(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes
     return data[~gone].tobytes(), int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum())
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, out: str = "dedup") -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, out: str = "dedup", as_text: bool = False) -> DataFrame:
     """The documents with a column ``out``: ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans`` (long).
 
     Each byte goes that a string of ``length`` bytes covers which also starts anywhere else, in this document or another. Null
     texts are empty, texts below ``length`` stay whole. A row that repeats with the same id is a place like any other, so its text
-    goes too. ``kept`` may end inside a character where a stretch does.
+    goes too. A stretch may end inside a character: ``kept`` holds the bytes as they are, or with ``as_text`` a string without
+    the characters that were cut.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumn("_rid", F.xxhash64(id_col, text))
     spans = spans_of(keyed, "_rid", text_col, length).groupBy("_rid").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    schema = "kept binary, n_bytes long, n_removed long, n_spans long"
+    kind = "string" if as_text else "binary"
+    schema = f"kept {kind}, n_bytes long, n_removed long, n_spans long"
 
     @F.pandas_udf(schema)
     def cut_out(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
         rows = [(None, 0, 0, 0) if t is None else (lambda kept, n, s: (kept, len(kept) + n, n, s))(*remove_spans(t, np.asarray(a), np.asarray(b))) for t, a, b in zip(texts, starts, ends)]
-        return pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans"])
+        frame = pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans"])
+        if as_text:
+            frame["kept"] = [k if k is None else k.decode("utf-8", "ignore") for k in frame["kept"]]
+        return frame
 
     joined = keyed.join(spans, "_rid", "left")
     some = F.col("_spans").isNotNull()
     joined = joined.withColumn("_cut", cut_out(F.when(some, text), F.transform("_spans", lambda s: s["start"]), F.transform("_spans", lambda s: s["end"])))
-    whole = F.struct(text.cast("binary").alias("kept"), F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
+    whole = F.struct(text.cast(kind).alias("kept"), F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
     return joined.withColumn(out, F.when(some, F.col("_cut")).otherwise(whole)).drop("_rid", "_spans", "_cut")
