@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, divergence, language, line_dedup, minhash, packing, parsing, suffix_dedup, toxicity
+from tessera.llm import bpe, divergence, language, line_dedup, minhash, mixing, packing, parsing, suffix_dedup, toxicity
 from tessera.llm.common import documents, remainder
 
 
@@ -18,6 +18,10 @@ def op1_divergence(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "word_js", "class_js")
 
 
+def op2_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.score(documents(spark, d).select("doc_id", "text", "lang").withColumn("held_out", remainder("doc_id", 7) == 2))
+
+
 def op3_bpe(spark: SparkSession, d: str) -> DataFrame:
     files = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     coded = documents(spark, d).select("doc_id", bpe.encoder(*files)("text").alias("ids"))
@@ -65,7 +69,7 @@ def op10_language_id(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_divergence": op1_divergence, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_parsing": op5_parsing, "op6_line_dedup": op6_line_dedup, "op7_toxicity": op7_toxicity, "op8_suffix_dedup": op8_suffix_dedup, "op9_packing": op9_packing, "op10_language_id": op10_language_id,
+    "op1_divergence": op1_divergence, "op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_parsing": op5_parsing, "op6_line_dedup": op6_line_dedup, "op7_toxicity": op7_toxicity, "op8_suffix_dedup": op8_suffix_dedup, "op9_packing": op9_packing, "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
