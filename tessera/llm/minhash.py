@@ -169,7 +169,8 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of_row = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: F.struct(F.least(i, "own").alias("i"), F.greatest(i, "own").alias("j")))
     of_centre = F.flatten(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: F.transform(F.sequence(i, F.col("nb") - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
     dealt = dealt.select("centre", "rep", F.explode(F.when(F.col("rep") == F.col("centre"), of_centre).otherwise(of_row)).alias("pair"))
-    rows = dealt.join(texts.select(F.col("id").alias("rep"), "text"), "rep")
+    # the same plan at every size: a broadcast of small inputs would not hold for large ones
+    rows = dealt.join(texts.select(F.col("id").alias("rep"), "text").hint("merge"), "rep")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("rep")
