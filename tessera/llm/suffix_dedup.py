@@ -140,7 +140,7 @@ def spans_of(docs: DataFrame, key: str, text_col: str, length: int = 400) -> Dat
 
     # a kind that occurs once is looked for in the others; one that occurs more often is covered above and only compared with
     wanted = kinds.where("kinds > 1").select("h", (F.col("n") == 1).alias("single"), "one.*").groupBy("rid").agg(F.collect_list(F.struct("h", "single", "pos", "l", "r")).alias("places"))
-    held = rows.join(wanted, "rid")
+    held = rows.hint("merge").join(wanted, "rid")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +207,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             frame["kept"] = [k if k is None else k.decode("utf-8", "ignore") for k in frame["kept"]]
         return frame
 
-    joined = keyed.join(spans, "_rid", "left")
+    joined = keyed.hint("merge").join(spans, "_rid", "left")
     some = F.col("_spans").isNotNull()
     joined = joined.withColumn("_cut", cut_out(F.when(some, text), F.transform("_spans", lambda s: s["start"]), F.transform("_spans", lambda s: s["end"])))
     whole = F.struct(text.cast(kind).alias("kept"), F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
