@@ -43,9 +43,13 @@ def removed(text: Column, pattern: str) -> Column:
 
 
 def with_classes(docs: DataFrame) -> DataFrame:
-    """Counts of the character classes of ``_text`` as ``_c_<class>``, after ``with_words``."""
+    """Counts of the character classes of ``_text`` as ``_c_<class>``, after ``with_words``; ``_rare`` is the text without a to z and white space.
+
+    Nearly all characters go in one pass over long runs, so that the classes are told apart on what little is left.
+    """
     out = docs.withColumn("_chars", F.char_length("_text").cast("long")).withColumn("_word_chars", F.char_length(F.array_join("_words", "")).cast("long"))
-    out = out.withColumns({"_c_space": F.col("_chars") - F.col("_word_chars")} | {f"_c_{k}": removed(F.col("_text"), v) for k, v in CLASSES.items()})
+    out = out.withColumn("_rare", F.regexp_replace("_text", r"[a-z\x20\x09-\x0D]+", ""))
+    out = out.withColumns({"_c_space": F.col("_chars") - F.col("_word_chars")} | {f"_c_{k}": removed(F.col("_rare"), v) for k, v in CLASSES.items()})
     return out.withColumn("_c_rest", F.col("_word_chars") - sum(F.col(f"_c_{k}") for k in CLASSES))
 
 
@@ -71,7 +75,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     found = {r["_lang"]: r for r in sums.collect()}  # 1 / LEAST_SHARE rows at most
     if not found:
         return References({}, {}, {})
-    counts = rows.where(F.col("_lang").isin(list(found))).select("_lang", F.explode("_words").alias("_w")).groupBy("_lang", F.lower("_w").alias("word")).agg(F.count("*").alias("n"))
+    counts = rows.where(F.col("_lang").isin(list(found))).select("_lang", F.explode("_words").alias("_w")).groupBy("_lang", F.col("_w").alias("word")).agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "word"))
     top = counts.withColumn("place", place).where(F.col("place") <= COMMON).select("_lang", "word", "n", slot(F.col("word")).alias("slot")).collect()  # COMMON rows a language
     owners: dict[int, str] = {}
@@ -122,7 +126,7 @@ def with_runs(docs: DataFrame, refs: References) -> DataFrame:
     if not refs.owners:
         return docs.withColumn("_runs", F.array().cast("array<struct<slot:int,times:int>>"))
     owners = F.split(F.lit(" ".join(refs.owners.get(i, "") for i in range(SLOTS))), " ")
-    hits = F.filter(F.transform("_words", lambda w: F.lower(w)), lambda w: F.get(owners, slot(w)) == w)
+    hits = F.filter("_words", lambda w: F.get(owners, slot(w)) == w)
     ends = lambda s: F.filter(F.transform(s, lambda x, i: F.when(x.eqNullSafe(F.get(s, i + 1)), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
     runs = lambda s: let(ends(s), lambda e: F.transform(e, lambda x, i: F.struct(F.get(s, x).alias("slot"), (x - F.when(i > 0, F.get(e, i - 1)).otherwise(-1)).alias("times"))))
     return docs.withColumn("_slots", F.sort_array(F.transform(hits, slot))).withColumn("_runs", let(F.col("_slots"), runs)).drop("_slots")
@@ -155,11 +159,11 @@ def judge(docs: DataFrame, refs: References, text_col: str = "text", least_words
     lines = F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
     out = out.withColumn("_lines", lines)
     out = out.withColumns({
-        "n_words": F.col("_n").cast("long"), "word_chars": F.col("_word_chars"), "n_symbols": removed(F.col("_text"), "[#*$%&|<>]+"),
+        "n_words": F.col("_n").cast("long"), "word_chars": F.col("_word_chars"), "n_symbols": removed(F.col("_rare"), "[#*$%&|<>]+"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "n_repeat_words": F.col("_repeat"),
         "word_js": word_distance(refs), "class_js": class_distance(refs),
     })
     far = ((F.col("n_words") >= least_words) & (F.col("word_js") > most_words_js)) | ((F.col("_chars") >= least_chars) & (F.col("class_js") > most_chars_js))
     out = out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     out = out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
-    return out.drop("_text", "_words", "_n", "_chars", "_word_chars", *(f"_c_{k}" for k in _HISTOGRAM), "_runs", "_repeat", "_lines")
+    return out.drop("_text", "_rare", "_words", "_n", "_chars", "_word_chars", *(f"_c_{k}" for k in _HISTOGRAM), "_runs", "_repeat", "_lines")
