@@ -69,11 +69,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Every input column is kept. Null texts become empty. See ``keep_bitmaps`` for what is dropped.
     """
-    bitmaps = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs).withColumnRenamed("_id", "_bitmap_id").withColumnRenamed("_text_hash", "_bitmap_hash")
+    bitmaps = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs).toDF("_bitmap_id", "_bitmap_hash", "_dropped", "_keep_bitmap")
     text = F.coalesce(F.col(text_col), F.lit(""))
     joined = docs.withColumn("_hash", F.xxhash64(text)).join(bitmaps, (F.col(id_col) == F.col("_bitmap_id")) & (F.col("_hash") == F.col("_bitmap_hash")), "left")
     # the counts come first: withColumn below replaces the text they are taken from
     joined = joined.withColumn(n_lines, (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"))
-    joined = joined.withColumn(n_dropped, F.coalesce(F.size("dropped"), F.lit(0)).cast("long"))
-    kept = F.when(F.col("keep_bitmap").isNull(), text).otherwise(apply_bitmap(split_lines(F.col(text_col)), F.col("keep_bitmap")))
-    return joined.withColumn(text_col, kept).drop("_hash", "_bitmap_id", "_bitmap_hash", "dropped", "keep_bitmap")
+    joined = joined.withColumn(n_dropped, F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"))
+    kept = F.when(F.col("_keep_bitmap").isNull(), text).otherwise(apply_bitmap(split_lines(F.col(text_col)), F.col("_keep_bitmap")))
+    return joined.withColumn(text_col, kept).drop("_hash", "_bitmap_id", "_bitmap_hash", "_dropped", "_keep_bitmap")

@@ -29,6 +29,7 @@ from tessera.llm.common import cut
 #: Tokens of a sequence, of the longest piece besides whole sequences, id that ends a document, pieces of a bin.
 CAPACITY, LONGEST, END_ID, BIN = 1024, 256, 0, 2048
 
+OUTPUT = ("start", "length", "ids_crc32", "doc_tokens", "bin_key", "ids", "sequence_id", "offset", "_bin")
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, bin_key long"
 
 
@@ -115,7 +116,7 @@ def cuts(n: int, capacity: int, longest: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, path: str, pattern: str, text_col: str = "text", capacity: int = CAPACITY, longest: int = LONGEST, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """The rows without their text, once for each piece: ``PIECE``, and ``ids`` if asked for. Every document ends with ``end_id``; null texts are empty."""
-    kept = [f for f in docs.schema if f.name != text_col]
+    kept = [f for f in docs.schema if f.name != text_col and f.name not in OUTPUT]
     schema = T.StructType(kept + list(T.StructType.fromDDL(PIECE + (", ids array<int>" if with_ids else ""))))
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +147,7 @@ def pack(docs: DataFrame, path: str, pattern: str, text_col: str = "text", capac
 
     Sequences hold at most ``capacity`` tokens and have no gap from 0; each token lies in exactly one piece. Ties are broken
     by the order of start, length and checksum. Null and empty texts are one piece that holds ``end_id``. An
-    empty table gives no rows. Columns whose names clash with these raise.
+    empty table gives no rows. Input columns that are named like an output are left out.
     """
     found = cut(pieces(docs, path, pattern, text_col, capacity, longest, end_id, with_ids))
     n_bins = max(1, found.count() // BIN)

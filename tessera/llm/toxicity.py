@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 SIZES, BUCKETS, DIMENSIONS, PASSAGE = (3, 4, 5), 1 << 17, 12, 16
 #: Training takes at most so many labelled documents of each class (those of the least hashed ids), of at most so many characters each.
 MOST_DOCS, MOST_CHARS = 2000, 100_000
+#: What each row's sum of squares starts with, so that a rare n-gram does not take a full step at once.
+CALM = 1e-2
 #: Rounds over random passages and over likeliest ones, passages of a document in a round, learning rate, bytes scored together.
 RANDOM, LIKELIEST, DRAWN, RATE, BATCH = 8, 10, 3, 0.3, 1 << 20
 
@@ -131,7 +133,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 0) ->
     e = ((rng.random((BUCKETS, DIMENSIONS)) - 0.5) / DIMENSIONS).astype(np.float32)
     w, bias = np.zeros(DIMENSIONS, np.float32), 0.0  # softmax of two classes: the difference of their rows
     w += rng.normal(0, 0.1, DIMENSIONS).astype(np.float32)
-    seen, seen_w, seen_b = np.full(BUCKETS, 1e-6, np.float32), np.full(DIMENSIONS, 1e-6), 1e-6
+    seen, seen_w, seen_b = np.full(BUCKETS, CALM, np.float32), np.full(DIMENSIONS, 1e-6), 1e-6
 
     def logits() -> np.ndarray:
         value = e @ w
