@@ -149,9 +149,10 @@ def with_repeats(docs: DataFrame, width: int = 8) -> DataFrame:
     return out.withColumn("_repeat", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), slow).otherwise(0).cast("long")).drop("_h")
 
 
-def judge(docs: DataFrame, refs: References, text_col: str = "text", least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS, most_words_js: float = MOST_WORDS_JS, most_chars_js: float = MOST_CHARS_JS) -> DataFrame:
+def judge(docs: DataFrame, refs: References, text_col: str = "text", lang_col: str | None = None, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS, most_words_js: float = MOST_WORDS_JS, most_chars_js: float = MOST_CHARS_JS) -> DataFrame:
     """The documents with counts (long), ``base_failed``, ``word_js``, ``class_js`` (0 to 1, null if not measurable) and ``kept``.
 
+    Rows whose ``lang_col`` names a language without a reference are not judged by distance: it may be a rare language.
     Null and empty texts have no words and fail the base rules. Without references (no row has a language) nothing is
     far. Rows that repeat are judged each. Input columns named like an output are replaced.
     """
@@ -164,6 +165,8 @@ def judge(docs: DataFrame, refs: References, text_col: str = "text", least_words
         "word_js": word_distance(refs), "class_js": class_distance(refs),
     })
     far = ((F.col("n_words") >= least_words) & (F.col("word_js") > most_words_js)) | ((F.col("_chars") >= least_chars) & (F.col("class_js") > most_chars_js))
+    if lang_col is not None and refs.classes:
+        far = far & (F.col(lang_col).isNull() | F.col(lang_col).isin(list(refs.classes)))
     out = out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     out = out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
     return out.drop("_text", "_rare", "_words", "_n", "_chars", "_word_chars", *(f"_c_{k}" for k in _HISTOGRAM), "_runs", "_repeat", "_lines")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Hashed trigrams, additive smoothing, EM rounds, cost in nats of a further language per log(words), languages at most.
-BUCKETS, ALPHA, ROUNDS, PENALTY, MOST_LANGUAGES = 1 << 16, 0.3, 8, 2.0, 500
+BUCKETS, ALPHA, ROUNDS, PENALTY, MOST_LANGUAGES = 1 << 16, 0.3, 8, 2.0, 100
 #: Characters that are taken in at a time; longer texts are taken in pieces that end between words.
 PIECE = 1 << 19
 

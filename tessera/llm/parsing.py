@@ -117,7 +117,7 @@ def sketches(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def all_sketches(texts: list[bytes]) -> list[np.ndarray]:
-    """``sketches`` with bounded memory: texts are parsed together up to ``BATCH`` bytes."""
+    """``sketches`` of texts that are parsed together up to ``BATCH`` bytes; a longer text takes about 60 bytes of memory for each of its own."""
     out, group, held = [], [], 0
     for t in texts:
         if group and held + len(t) > BATCH:

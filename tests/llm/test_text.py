@@ -86,6 +86,14 @@ def test_junk_goes_and_prose_stays(spark, documents):
     assert np.mean([kept[i]["kept"] for i in clean]) > 0.99
 
 
+def test_rare_languages_are_not_judged(frame):
+    docs = frame(["the of and word " * 30] * 5).union(frame(["### $$$ xq zq " * 30], "xx"))
+    refs = divergence.references(frame(["the of and word " * 30] * 5))
+    assert [r["word_js"] > divergence.MOST_WORDS_JS for r in divergence.judge(docs, refs).where("lang = 'xx'").collect()] == [True]
+    first = divergence.judge(docs, refs, lang_col="lang").withColumn("far", (F.col("base_failed") | F.col("kept")))
+    assert first.where("not far").count() == 0
+
+
 def test_rules_odd_rows(odd, none):
     got = divergence.judge(odd, divergence.references(odd))
     assert got.count() == odd.count()
