@@ -73,6 +73,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_minhash": r"""
+        with recursive w as materialized (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+            from documents
+        ), s as materialized (
+            select distinct doc_id, unnest(case when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g
+            from w where len(w) > 0
+        ), n as materialized (
+            select doc_id, count(*) as n from s group by doc_id
+        ), p as materialized (
+            select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all
+        ), l as materialized (
+            select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)
+        ), r as (
+            select doc_id as a, doc_id as b from documents union select r.a, l.y from r join l on r.b = l.x
+        ), c as (
+            select a as doc_id, min(b) as component_id from r group by a
+        )
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+        from documents d join c on c.doc_id = d.doc_id left join n on n.doc_id = d.doc_id""",
+    "op8_suffix_dedup": r"""
+        with h as materialized (
+            select doc_id, hex(encode(coalesce(text, ''))) as x, octet_length(encode(coalesce(text, ''))) as n from documents
+        ), w as materialized (
+            select doc_id, p, md5(substr(x, 2 * p + 1, 800)) as k from (select doc_id, x, unnest(range(0, n - 399)) as p from h where n >= 400)
+        ), d as (
+            select doc_id, p from w where k in (select k from w group by k having count(*) > 1)
+        ), e as (
+            select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 400 then 0 else 1 end as fresh from d
+        ), f as (
+            select doc_id, p, sum(fresh) over (partition by doc_id order by p) as run from e
+        ), r as materialized (
+            select doc_id, run, min(p) as a, max(p) + 400 as b from f group by doc_id, run
+        ), k as (
+            select doc_id, a as place, coalesce(lag(b) over (partition by doc_id order by a), 0) as since, a as until from r
+            union all select h.doc_id, h.n, coalesce(m.b, 0), h.n from h left join (select doc_id, max(b) as b from r group by doc_id) m on m.doc_id = h.doc_id
+        ), t as (
+            select k.doc_id, string_agg(substr(h.x, 2 * since + 1, 2 * (until - since)), '' order by place) as kept from k join h on h.doc_id = k.doc_id group by k.doc_id
+        ), s as (
+            select doc_id, sum(b - a) as removed, count(*) as spans from r group by doc_id
+        )
+        select h.doc_id, cast(h.n as bigint) as n_bytes, cast(coalesce(s.removed, 0) as bigint) as n_removed, coalesce(s.spans, 0) as n_spans, sha256(unhex(t.kept)) as kept_sha256
+        from h join t on t.doc_id = h.doc_id left join s on s.doc_id = h.doc_id""",
     "op6_line_dedup": r"""
         with l as (
             select doc_id, unnest(range(1, len(a) + 1)) as i, unnest(a) as line

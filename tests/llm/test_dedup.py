@@ -25,8 +25,9 @@ def words_of(text):
 # lines
 
 
-def test_lines_match_sql(spark):
-    assert_same(queries.op6_line_dedup(spark, SF).toPandas(), tables(SF).sql(queries.ORACLE_SQL["op6_line_dedup"]).df())
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_queries_match_sql(spark, name):
+    assert_same(queries.QUERIES[name](spark, SF).toPandas(), tables(SF).sql(queries.ORACLE_SQL[name]).df())
 
 
 def test_lines_keep_the_last_document(frame):
