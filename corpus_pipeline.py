@@ -20,8 +20,8 @@ def _with_chars(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go, and those in which no language fills three tenths of the words."""
-    found = language.identify(docs, docs, out="_language")
+    """Documents without a letter go, and those in which no language fills three tenths of the words, beside an unknown source."""
+    found = language.identify(docs, docs, out="_language", unknown=True)
     return found.where(language.accepted(F.col("_language"), 0.3)).drop("_language")
 
 

@@ -3,7 +3,8 @@
 Training counts hashed byte trigrams of each language over all training documents; the counts are combined in the JVM and
 come to the driver as one bounded table (``BUCKETS`` rows a language). A document is then a mixture: each word was
 written in one language, unknown, and expectation-maximisation over the words' n-gram likelihoods estimates the
-proportions. The set of languages is the one of highest likelihood after a penalty for each further language.
+proportions. The set of languages is the one of highest likelihood after a penalty for each further language. On request
+one more component stands for an unknown source, all of whose trigrams are equally likely: it takes the words that no learned language explains.
 """
 
 from __future__ import annotations
@@ -124,13 +125,21 @@ def mixtures(words: np.ndarray, sizes: np.ndarray, rounds: int = ROUNDS, penalty
     return shares, chosen
 
 
-def predictor(known: list[str], logp: np.ndarray):
+def with_unknown(logp: np.ndarray) -> np.ndarray:
+    """The log probabilities with a last column for an unknown source."""
+    return np.column_stack([logp, np.full(len(logp), -np.log(len(logp)), logp.dtype)])
+
+
+def predictor(known: list[str], logp: np.ndarray, unknown: bool = False):
     """A Column function from text to ``PREDICTION``.
 
     ``lang_pred`` is the selected language of the largest share, ``score`` its share among all languages, ``languages``
     and ``shares`` the selected set. Null texts and texts without a letter give ``und``, 0 and empty lists, and so does
-    every text if nothing was learned. Of equal shares the first name wins.
+    every text if nothing was learned. Of equal shares the first name wins. With ``unknown``, shares are taken over an unknown source
+    too, and a text for which no language but that source is selected gives ``und``, 0 and empty lists.
     """
+    if unknown:
+        logp = with_unknown(logp)
 
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -141,8 +150,9 @@ def predictor(known: list[str], logp: np.ndarray):
                 if ready:
                     shares, chosen = mixtures(np.concatenate([w for _, w in ready]), np.array([len(w) for _, w in ready]))
                     for (i, _), share, sets in zip(ready, shares, chosen):
-                        names = sorted(np.flatnonzero(sets), key=lambda j: -share[j])
-                        out[i] = (known[names[0]], float(min(share[names[0]], 1)), [known[j] for j in names], [float(share[j]) for j in names])
+                        names = sorted(np.flatnonzero(sets[: len(known)]), key=lambda j: -share[j])
+                        if names:
+                            out[i] = (known[names[0]], float(min(share[names[0]], 1)), [known[j] for j in names], [float(share[j]) for j in names])
                     ready.clear()
 
             held = 0
@@ -159,9 +169,9 @@ def predictor(known: list[str], logp: np.ndarray):
     return F.pandas_udf(predict, PREDICTION)
 
 
-def identify(docs: DataFrame, train: DataFrame, text_col: str = "text", lang_col: str = "lang", out: str = "language") -> DataFrame:
+def identify(docs: DataFrame, train: DataFrame, text_col: str = "text", lang_col: str = "lang", out: str = "language", unknown: bool = False) -> DataFrame:
     """The documents with a column ``out`` (see ``predictor``), by languages learned from ``train``. Only texts go to Python."""
-    udf = predictor(*fit(train, text_col, lang_col))
+    udf = predictor(*fit(train, text_col, lang_col), unknown)
     return docs.withColumn(out, udf(F.col(text_col)))
 
 

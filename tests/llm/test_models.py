@@ -137,6 +137,22 @@ def test_stages(spark, documents):
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in docs.collect()}
 
 
+def test_language_stage_rejects_unknown_sources(spark, documents):
+    """Gibberish and a language that was never learned go, though unlabelled rows have four languages to fall into."""
+    rng = np.random.default_rng(5)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    ascii_ = " ".join(draw("abcdefghijklmnopqrstuvwxyz", rng.integers(2, 10)) for _ in range(150))
+    base64 = draw("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 2000)
+    cyrillic = " ".join(draw("абвгдежзийклмнопрстуфхцчшщъыьэюя", rng.integers(2, 10)) for _ in range(150))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(10**9 + i, t, None, "s", len(t)) for i, t in enumerate([ascii_, base64, cyrillic])]
+    more = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, more, SF).collect()}
+    assert not {r[0] for r in rows} & kept
+    prose = [i for i, t in documents.text.items() if len((t or "").split()) >= 60]
+    assert np.mean([i in kept for i in prose]) > 0.99
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
