@@ -1,11 +1,11 @@
 """Toxicity from subword-bag embeddings.
 
 A word is the mean of the vectors of its character n-grams (spaces at both ends), which are hashed to ``BUCKETS`` rows; a
-passage of ``PASSAGE`` words is the mean of its words; a linear softmax over the passage gives its class. Vectors and softmax are trained
+passage of ``PASSAGE`` words is the mean of its distinct words; a linear softmax over the passage gives its class. Vectors and softmax are trained
 jointly with numpy. A misspelt word shares n-grams, and so vectors, with words that were seen. Documents have labels and
 passages have none, so after a first stage in which random passages take their document's label, training goes on with the
 likeliest passages of each document. A document's score is that of its likeliest passage, calibrated on documents kept
-back from training. Whole texts are scored: once trained, an n-gram needs one number, its vector's difference between the classes.
+back from training. Whole texts are scored, by passages that overlap by half, so that one which straddles is not halved: once trained, an n-gram needs one number, its vector's difference between the classes.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: n-gram sizes, hashed rows, dimensions, words of a passage.
-SIZES, BUCKETS, DIMENSIONS, PASSAGE = (3, 4, 5), 1 << 17, 12, 16
+#: n-gram sizes, hashed rows, dimensions, words of a passage, words from one passage to the next.
+SIZES, BUCKETS, DIMENSIONS, PASSAGE, STRIDE = (3, 4, 5), 1 << 17, 12, 16, 8
 #: Training takes at most so many labelled documents of each class (those of the least hashed ids), of at most so many characters each.
 MOST_DOCS, MOST_CHARS = 2000, 100_000
 #: What each row's sum of squares starts with, so that a rare n-gram does not take a full step at once.
@@ -29,9 +29,15 @@ CALM = 1e-2
 RANDOM, LIKELIEST, DRAWN, RATE, BATCH = 8, 10, 3, 0.3, 1 << 20
 
 
+def every_word(text: str | None) -> bytes:
+    """All words in order, A to Z lower-cased, each between single spaces."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    return b" " + b" ".join(words) + b" " if words else b""
+
+
 def normal(text: str | None) -> bytes:
-    """The distinct words in order, A to Z lower-cased, each between single spaces: a word that is said over and over counts once."""
-    words = dict.fromkeys((text or "").encode("utf-8", "replace").lower().split())
+    """The distinct words in order: texts of which it is equal are copies."""
+    words = dict.fromkeys(every_word(text).split())
     return b" " + b" ".join(words) + b" " if words else b""
 
 
@@ -56,10 +62,29 @@ def grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(codes), np.concatenate(words)
 
 
-def passages(n_words: int) -> np.ndarray:
-    """Where passages begin; a short end joins the passage before it."""
-    starts = np.arange(0, max(n_words, 1), PASSAGE)
-    return starts[:-1] if len(starts) > 1 and n_words - starts[-1] < PASSAGE // 2 else starts
+def passages(n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where passages begin and end; the last one ends with the text, and every word is in one at least."""
+    starts = np.arange(0, max(n_words - PASSAGE, 0) + STRIDE, STRIDE)
+    starts[-1] = max(n_words - PASSAGE, 0)
+    return starts, np.minimum(starts + PASSAGE, n_words)
+
+
+def distinct(words: list[bytes], starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first occurrence of each word in each passage, and how many a passage has: a word that is said over and over counts once."""
+    index: dict[bytes, int] = {}
+    return first_places(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words)), starts, ends)
+
+
+def first_places(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``distinct`` of words by their numbers."""
+    order = np.argsort(ids, kind="stable")
+    before = np.full(len(ids), -1)  # where the same word stood last
+    same = ids[order[1:]] == ids[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    sizes = ends - starts
+    places = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - starts, sizes)
+    fresh = before[places] < np.repeat(starts, sizes)
+    return places[fresh], np.add.reduceat(fresh, np.cumsum(sizes) - sizes)
 
 
 def word_values(data: bytes, value: np.ndarray) -> np.ndarray:
@@ -70,7 +95,7 @@ def word_values(data: bytes, value: np.ndarray) -> np.ndarray:
 
 
 def passage_values(data: bytes, value: np.ndarray) -> np.ndarray:
-    """Mean of the words' values in each passage; at least one word is needed."""
+    """Mean of the distinct words' values in each passage; at least one word is needed."""
     out, at = [], 0
     while at < len(data):  # long texts are taken in pieces that end between words
         end = len(data) if len(data) - at <= BATCH else data.rfind(b" ", at, at + BATCH) + 1
@@ -78,8 +103,8 @@ def passage_values(data: bytes, value: np.ndarray) -> np.ndarray:
         out.append(word_values(data[at:end], value))
         at = end if end == len(data) else end - 1
     values = np.concatenate(out)
-    starts = passages(len(values))
-    return np.add.reduceat(values, starts) / np.diff(starts, append=len(values))
+    places, sizes = distinct(data.split(), *passages(len(values)))
+    return np.add.reduceat(values[places], np.cumsum(sizes) - sizes) / sizes
 
 
 @dataclass
@@ -93,7 +118,7 @@ class Model:
 
     def score(self, text: str | None) -> float:
         """0 to 1; a text without words scores 0."""
-        data = normal(text)
+        data = every_word(text)
         if not data:
             return 0.0
         top = float(passage_values(data, self.value).max()) + self.bias
@@ -103,7 +128,7 @@ class Model:
 def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 0) -> Model:
     """Fit vectors and softmax; ``prior`` is the share of label 1 among all labelled rows, to calibrate for."""
     rng = np.random.default_rng(seed)
-    ready = list({d: (d, y) for d, y in zip(map(normal, texts), labels) if d}.values())  # copies would weigh like many documents
+    ready = list({d: (every_word(t), y) for t, d, y in zip(texts, map(normal, texts), labels) if d}.values())  # copies would weigh like many documents
     if not ready or len({y for _, y in ready}) < 2:  # nothing to tell apart
         p = float(np.clip(prior, 1e-6, 1 - 1e-6))
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, float(np.log(p / (1 - p))))
@@ -120,14 +145,17 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 0) ->
     lengths = np.concatenate(sizes)
     gram_at = np.concatenate([[0], np.cumsum(lengths)])
     codes = np.concatenate(codes)
-    starts, doc, at = [], [], 0
-    for i, s in enumerate(sizes):
-        p = passages(len(s))
-        starts.append(p + at)
-        doc.append(np.full(len(p), i))
+    # passages overlap, so each one's distinct words are listed: ``member`` holds their places, ``starts`` where a passage's begin in it
+    member, counts, doc, at = [], [], [], 0
+    for i, (d, s) in enumerate(zip(data, sizes)):
+        places, n = distinct(d.split(), *passages(len(s)))
+        member.append(places + at)
+        counts.append(n)
+        doc.append(np.full(len(n), i))
         at += len(s)
-    starts, doc = np.concatenate(starts), np.concatenate(doc)
-    ends = np.append(starts[1:], at)
+    member, counts, doc = np.concatenate(member), np.concatenate(counts), np.concatenate(doc)
+    ends = np.cumsum(counts)
+    starts = ends - counts
     doc_at = np.searchsorted(doc, np.arange(len(data)))
 
     e = ((rng.random((BUCKETS, DIMENSIONS)) - 0.5) / DIMENSIONS).astype(np.float32)
@@ -138,7 +166,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 0) ->
     def logits() -> np.ndarray:
         value = e @ w
         per_word = np.add.reduceat(np.append(value[codes], 0), gram_at[:-1]) / np.maximum(lengths, 1) * (lengths > 0)
-        return np.add.reduceat(per_word, starts) / (ends - starts) + bias
+        return np.add.reduceat(per_word[member], starts) / counts + bias
 
     for epoch in range(RANDOM + LIKELIEST):
         z = rng.random(len(starts)) if epoch < RANDOM else logits()
@@ -150,7 +178,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 0) ->
         for k in range(0, len(drawn), 128):
             own = drawn[k : k + 128]
             n_words = ends[own] - starts[own]
-            words = np.repeat(starts[own] - np.concatenate([[0], np.cumsum(n_words)[:-1]]), n_words) + np.arange(n_words.sum())
+            words = member[np.repeat(starts[own] - np.concatenate([[0], np.cumsum(n_words)[:-1]]), n_words) + np.arange(n_words.sum())]
             n_grams = lengths[words]
             at_grams = np.repeat(gram_at[words] - np.concatenate([[0], np.cumsum(n_grams)[:-1]]), n_grams) + np.arange(n_grams.sum())
             ids = codes[at_grams]

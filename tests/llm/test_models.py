@@ -117,6 +117,27 @@ def test_passages_cover_long_texts(monkeypatch):
     assert np.allclose(whole, toxicity.passage_values(data, value))
 
 
+def test_passages_are_those_of_the_text():
+    """A passage late in a text counts whole, though all its words stood earlier, wherever it falls between the strides."""
+    value = np.zeros(toxicity.BUCKETS)
+    bad = [f"bad{c * 3}" for c in "abcdefgh"]
+    for w in bad:
+        value[toxicity.grams(toxicity.normal(w))[0]] = 1.0
+    fill = [f"{a}{b}{a}{b}{b}" for a in "klmno" for b in "pqrstuvwxyz"]
+    early = [w for b in bad for w in [*fill[:30], b]]
+    for shift in range(8):
+        spread = toxicity.passage_values(toxicity.every_word(" ".join(early + fill + fill[:shift])), value).max()
+        together = toxicity.passage_values(toxicity.every_word(" ".join(early + fill + fill[:shift] + bad + fill)), value).max()
+        assert spread < 0.3 and together > 0.4
+    words = ["a", "b"] * 20 + ["c"]
+    starts, ends = toxicity.passages(len(words))
+    places, sizes = toxicity.distinct(words, starts, ends)
+    assert sizes.tolist() == [len(set(words[a:b])) for a, b in zip(starts, ends)] and ends[-1] == 41 and (starts[1:] <= ends[:-1]).all()
+    for n in range(1, 60):
+        starts, ends = toxicity.passages(n)
+        assert set(np.concatenate([np.arange(a, b) for a, b in zip(starts, ends)])) == set(range(n)) and (np.diff(starts) > 0).all()
+
+
 def test_toxicity_query(spark, documents):
     rows = queries.op7_toxicity(spark, SF).collect()
     assert len(rows) == len(documents) and all((r["score"] >= 0.3) == bool(r["predicted"]) for r in rows)
