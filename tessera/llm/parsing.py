@@ -7,8 +7,8 @@ a few bits; a cut falls where labels have a local maximum. A cut therefore depen
 substrings have equal phrases inside, wherever they stand. Runs of one symbol have no differing bit and become a phrase of
 their own, named by symbol and length.
 
-The fingerprint keeps the ``SKETCH`` smallest hashes of the phrase names of the higher levels, which estimates how many phrases
-two documents share. Low levels hold syllables that any two documents share; only short texts, which have few other names, count them.
+The fingerprint keeps the ``SKETCH`` smallest hashes of the phrase names of level ``FIRST`` and above, which estimates how many phrases
+two documents share. One rule holds for texts of all sizes, so that an edit that moves a text over some size changes no more than it holds.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from tessera.llm.common import let, partitions
 
 #: Rounds of coin tossing, names kept, symbols parsed at a time.
 TOSSES, SKETCH, BATCH = 3, 64, 1 << 20
-#: First level whose names count: 1 below the first size in bytes, 2 below the second, else 3.
-SHORT = (128, 1024)
+#: First level whose names count, in texts of every size.
+FIRST = 2
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -88,7 +88,6 @@ def name(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def sketches(texts: list[bytes]) -> list[np.ndarray]:
     """The smallest hashed names of each text, in order; equal texts have equal sketches, an empty text an empty one."""
     keep: list[list[np.ndarray]] = [[] for _ in texts]
-    least = 1 + np.searchsorted(SHORT, [len(t) for t in texts], side="right")
     data = np.frombuffer(b"".join(texts), np.uint8)
     doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     x = _mix(data.astype(np.uint64) + np.uint64(1))
@@ -99,7 +98,7 @@ def sketches(texts: list[bytes]) -> list[np.ndarray]:
         heads = np.flatnonzero(first)
         sizes = np.diff(heads, append=len(x))
         ended = sizes == 1  # a single name is the last level
-        counted = (level >= least[doc[heads]]) | ended
+        counted = np.full(len(heads), level >= FIRST) | ended
         if counted.any():
             hashed = (_mix(x ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)
             for h, n in zip(heads[counted], sizes[counted]):

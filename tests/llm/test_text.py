@@ -154,6 +154,18 @@ def test_sketch_depends_on_the_text_alone(texts):
     assert [s.tolist() for s in parsing.all_sketches(raw)] == [parsing.sketches([r])[0].tolist() for r in raw]
 
 
+@pytest.mark.parametrize("size", [128, 1024])
+def test_no_size_parts_near_copies(size):
+    """One more word changes a sketch as little across a size as below it."""
+    rng = random.Random(size)
+    alike = {0: [], 60: []}
+    for _ in range(40):
+        text = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(300))
+        for below, found in alike.items():
+            found.append(parsing.likeness(*parsing.all_sketches([text[: size - below - 3].encode(), (text[: size - below - 3] + " word").encode()])))
+    assert np.mean(alike[0]) > np.mean(alike[60]) - 0.1 and min(alike[0]) > 0.5
+
+
 def test_neighbours(spark, documents):
     got = parsing.compare_neighbours(spark.read.parquet(f"{SF}/documents.parquet")).toPandas().set_index("id")
     docs = documents.sort_index(ascending=False)
