@@ -86,6 +86,22 @@ def test_junk_goes_and_prose_stays(spark, documents):
     assert np.mean([kept[i]["kept"] for i in clean]) > 0.99
 
 
+def test_texts_without_common_words_go(spark):
+    """Gibberish and lists of rare words go at any length that is judged, prose of one language or of several stays."""
+    rng = random.Random(3)
+    rare = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    common = {lang: [f"{lang}{c}" for c in "abcdefghijklmnop"] for lang in ("en", "de", "es")}
+    prose = lambda lang, n: " ".join(rng.choice(common[lang]) if rng.random() < 0.3 else rare() for _ in range(n))
+    rows = [(1000 * k + i, prose(lang, 300), lang) for k, lang in enumerate(common) for i in range(60)]
+    junk = [(10_000 + n, " ".join(rare() for _ in range(n)), "en") for n in (60, 300, 5000)]
+    mixed = [(20_000, " ".join(prose(lang, 300) for lang in common), "en"), (20_001, prose("en", 60), "en")]
+    docs = spark.createDataFrame(rows + junk + mixed, "doc_id long, text string, lang string")
+    refs = divergence.references(spark.createDataFrame(rows, docs.schema))
+    got = {r["doc_id"]: r for r in divergence.judge(docs, refs, lang_col="lang").collect()}
+    assert all(not got[i]["kept"] and not got[i]["base_failed"] and got[i]["word_js"] < divergence.MOST_WORDS_JS for i, *_ in junk)
+    assert all(got[i]["kept"] for i, *_ in rows + mixed)
+
+
 def test_rare_languages_are_not_judged(frame):
     prose = frame(["the of and word " * 30] * 5)
     docs, refs = frame([" ".join(f"zq{i}" for i in range(100))], "xx"), divergence.references(prose)
