@@ -28,8 +28,8 @@ def search_text(*parts: str | Column, suffix: str | None = None) -> Column:
 
 
 def url_host(url: str | Column) -> Column:
-    """Host of a URL; null when there is none."""
-    return F.parse_url(F.col(url) if isinstance(url, str) else url, F.lit("HOST"))
+    """Host of a URL; null when there is none or the URL is malformed."""
+    return F.try_parse_url(F.col(url) if isinstance(url, str) else url, F.lit("HOST"))
 
 
 def url_leaf(url: str | Column) -> Column:

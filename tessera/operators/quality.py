@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.functions.text import url_leaf
+from tessera.sources.scratch import cut
 
 
 def with_status(records: DataFrame, extra: DataFrame, key: str, status: str = "status") -> DataFrame:
@@ -23,13 +27,26 @@ def duplicate_keys(df: DataFrame, keys: list[str | Column]) -> DataFrame:
 
 
 def key_order(df: DataFrame, keys: list[str], position: str = "position") -> DataFrame:
-    """Rank of each row in ascending order of the keys, without pulling the table into one task.
+    """Rank of each row in ascending order of the keys (nulls first), without pulling the table into one task.
 
-    A window with no partitioning would sort everything in one task. Rows are range-partitioned instead, ranked inside
-    their range, and moved by the number of rows in the ranges before, which is one small row per range.
+    A window with no partitioning would sort everything in one task. Rows are dealt into ranges and sorted there once, and that table is
+    written: its bounds come from a sample, so two plans would draw two sets of ranges. A row's place in its range is then moved by
+    the rows in the ranges before, one small row per range. Rows of equal keys are ranked in the order of a hash of their
+    other columns, which also splits a key that many rows hold. An empty table gives no rows.
     """
-    ranged = df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id())
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
+    rest = F.xxhash64(*(f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))))
+    order = [*keys, rest]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = cut(ranged.withColumn("_place", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_place", 33)))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return ranged.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn(position, (F.col("_inside") + F.col("_before")).cast("long")).drop("_range", "_inside", "_before")
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return ranged.join(F.broadcast(before), "_range").withColumn(position, (inside + F.col("_before")).cast("long")).drop("_range", "_place", "_before")
+
+
+def anomalies(records: DataFrame, url: str, name: str) -> DataFrame:
+    """The records with ``url_is_directory`` (no file part) and ``open_bracket`` (brackets that open and close differ in number); null where the field is."""
+    times = lambda c: F.length(name) - F.length(F.replace(F.col(name), F.lit(c), F.lit("")))
+    differ = [times(a) != times(b) for a, b in ("()", "[]", "【】")]
+    return records.withColumns({"url_is_directory": url_leaf(url) == "", "open_bracket": differ[0] | differ[1] | differ[2]})

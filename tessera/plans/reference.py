@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import quality
-from tessera.sources.tables import table
+from tessera.sources.scratch import new_path
+from tessera.sources.tables import catalogue, table, write_arrays
 
 
 def status_shape(spark: SparkSession, d: str) -> DataFrame:
@@ -48,12 +49,28 @@ def search_text(spark: SparkSession, d: str) -> DataFrame:
 
 def key_order(spark: SparkSession, d: str) -> DataFrame:
     keys = ["p_brand", "p_name", "p_type", "p_partkey"]
-    return quality.key_order(table(spark, d, "part").select(*keys), keys).select("p_partkey", "position")
+    return quality.key_order(table(spark, d, "part").select(*keys, "p_size"), keys).select("p_partkey", "p_size", "position")
+
+
+def catalogue_round(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as catalogue records, written as JSON arrays of at most 1000 records and read back: blank fields stay blank, absent ones are null."""
+    image = F.when(F.col("p_type") != "PROMO", text.slug("p_brand", "p_name"))
+    parts = table(spark, d, "part").select(
+        F.floor(F.col("p_partkey") / 1000).alias("part"), F.col("p_brand").alias("manufacturer"), F.col("p_type").alias("brand"), F.col("p_name").alias("patternName"), F.when(F.col("p_size") > 25, "RED").otherwise("").alias("color"),
+        F.array().cast("array<string>").alias("aliases"), F.when(image.isNull(), "skipped").otherwise("registered").alias("status"), image.alias("imageFile"), F.concat(F.lit("https://a.example/"), F.col("p_partkey").cast("string")).alias("imageUrl"),
+    )
+    path = new_path(spark)
+    write_arrays(parts, path, "part")
+    return catalogue(spark, path).select("manufacturer", "brand", "patternName", "color", "status", "imageFile", "imageUrl", F.size("aliases").alias("n_aliases"))
+
+
+def anomalies(spark: SparkSession, d: str) -> DataFrame:
+    return quality.anomalies(table(spark, d, "pages"), "url", "html").select("page_id", "url_is_directory", "open_bracket")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ref_status_shape": status_shape, "ref_slug": slug, "ref_duplicate_key": duplicate_key, "ref_shared_value": shared_value, "ref_url_host": hosts,
-    "ref_url_leaf": leaf, "ref_iso_stamp": stamp, "ref_search_text": search_text, "ref_key_order": key_order,
+    "ref_url_leaf": leaf, "ref_iso_stamp": stamp, "ref_search_text": search_text, "ref_key_order": key_order, "ref_catalogue": catalogue_round, "ref_anomalies": anomalies,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -71,5 +88,14 @@ ORACLE_SQL: dict[str, str] = {
     "ref_search_text": """
         select p_partkey, concat_ws(' ', case when p_type <> 'PROMO' then nullif(p_brand, '') end, nullif(p_name, ''), nullif(p_type, ''), 'image search') as query
         from part""",
-    "ref_key_order": "select p_partkey, cast(row_number() over (order by p_brand, p_name, p_type, p_partkey) as bigint) as position from part",
+    "ref_key_order": "select p_partkey, p_size, cast(row_number() over (order by p_brand, p_name, p_type, p_partkey) as bigint) as position from part",
+    "ref_catalogue": r"""
+        select p_brand as manufacturer, p_type as brand, p_name as "patternName", case when p_size > 25 then 'RED' else '' end as color, case when p_type <> 'PROMO' then 'registered' else 'skipped' end as status,
+            case when p_type <> 'PROMO' then regexp_replace(lower(concat_ws(' ', nullif(p_brand, ''), nullif(p_name, ''))), '[^\p{L}\p{N}]+', '_', 'g') || '.jpg' end as "imageFile",
+            'https://a.example/' || p_partkey as "imageUrl", cast(0 as integer) as n_aliases
+        from part""",
+    "ref_anomalies": r"""
+        select page_id, regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1) = '' as url_is_directory,
+            length(replace(html, '(', '')) <> length(replace(html, ')', '')) or length(replace(html, '[', '')) <> length(replace(html, ']', '')) or length(replace(html, '【', '')) <> length(replace(html, '】', '')) as open_bracket
+        from pages""",
 }

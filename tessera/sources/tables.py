@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: One catalogue record. Records without an image lack the four image fields, which are then null.
@@ -31,3 +32,10 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
 def write_catalogue(df: DataFrame, path: str) -> None:
     """Write a catalogue as Parquet, with one folder for each status."""
     df.write.mode("overwrite").partitionBy("status").parquet(path)
+
+
+def write_arrays(df: DataFrame, path: str, part: str) -> None:
+    """Write records as JSON arrays that ``catalogue`` reads, one file in a folder of its own for each value of ``part``; a file's records must fit in a task."""
+    record = F.struct(*(c for c in df.columns if c != part))
+    arrays = df.groupBy(part).agg(F.to_json(F.collect_list(record)).alias("value"))
+    arrays.write.partitionBy(part).text(path)
