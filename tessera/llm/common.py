@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import cut as cut
+
 #: White space between words, as a character class for Java's and DuckDB's regular expressions and as characters.
 SPACE_CLASS, SPACE_CHARS = r"[\x20\x09-\x0D]", " \t\n\x0b\x0c\r"
 
@@ -34,35 +33,5 @@ def remainder(doc_id: str | Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % modulus, F.lit(-1))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: what the session names, else a local one for tests."""
-    sc = spark.sparkContext
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    if not (found := sc._jsc.sc().getCheckpointDir()).isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-        found = sc._jsc.sc().getCheckpointDir()
-    return found.get().rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows as a table in the shared folder and read them back: lineage ends there and lost executors cost nothing.
-
-    The table is compressed, unlike a checkpoint's files. It goes when the program ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    sc = spark.sparkContext
-    if sc._jsc is not None:
-        hadoop_path = sc._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop_path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

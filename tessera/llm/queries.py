@@ -19,7 +19,7 @@ def op1_divergence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.score(documents(spark, d).select("doc_id", "text", "lang").withColumn("held_out", remainder("doc_id", 7) == 2))
+    return mixing.score(documents(spark, d).select("doc_id", "text").withColumn("held_out", remainder("doc_id", 7) == 2))
 
 
 def op3_bpe(spark: SparkSession, d: str) -> DataFrame:

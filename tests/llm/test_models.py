@@ -37,27 +37,139 @@ def test_base_scores(spark, documents):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_word_probabilities_add_up():
-    """All strings over two letters up to a length, and those that go on, share a probability of 1."""
-    words = [b"", b"a", b"b", b"ab", b"ba", b"aab"]
-    counts = np.array([[9, 1], [5, 0], [1, 4], [2, 2], [0, 3], [1, 0]], float)
-    histogram = np.zeros(256)
-    histogram[[32, 97, 98]] = 20, 9, 8
-    code = mixing.Code(histogram)
-    table = np.zeros((5, mixing.SLOTS, 2), np.float32)
-    mixing.tables(words, counts, code, table)
-    mixer = mixing.train_mixer(np.concatenate(list(mixing.sample(iter([(words, counts)]), code, table, 1.0, 0))))
-    strings = [b""] + [bytes(s) for n in range(1, 4) for s in np.stack(np.meshgrid(*[[97, 98]] * n), -1).reshape(-1, n).astype(np.uint8)]
-    known = dict(zip(words, counts))
-    every = sorted(set(strings) | set(words))
-    scores = mixing.word_scores(every, np.array([known.get(w, np.zeros(2)) for w in every]), code, table, mixer)
-    total = (10.0 ** scores).sum(axis=0)
-    assert (total < 1).all() and (total > 0.5).all()
-
-
-def test_codes_are_a_prefix_code():
-    code = mixing.Code(np.arange(256)[::-1])
-    assert np.isclose((2.0 ** -code.size).sum(), 8 / 16 + 16 / 64 + 232 / 1024)
+def test_base_scores_of_words_without_a_code(spark, documents, monkeypatch):
+    """With few codes most words go through the join."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "text", "doc_id % 5 = 0 as held_out")
+    counts = Counter(w for i, t in documents.text.items() if i % 5 for w in tokens(t))
+    n, v = sum(counts.values()), len(counts)
+    for r in mixing.score(docs, words=100).collect():
+        own = tokens(documents.text[r["doc_id"]])
+        assert r["n_known"] == sum(counts[w] > 0 for w in own) and r["base_score"] == pytest.approx(sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in own))
+
+
+def learned(texts, words=1 << 18, first=1 << 10):
+    counts = Counter(w for t in texts for w in [*t.split(), b""])
+    code = mixing.Code(*zip(*sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:words]), 0)
+    model = mixing.Model(code)
+    for group in mixing.batches_of(((t,) for t in texts), first):
+        model.learn(mixing.Tokens([t for t, _ in group], code, True, [e for _, e in group]))
+    return model.settle()
+
+
+def scores(model, texts):
+    t = mixing.Tokens(texts, model.code)
+    s = model.score(t)
+    return [s[a : a + n] for a, n in zip(t.starts, t.sizes)]
+
+
+@pytest.fixture(scope="module")
+def few():
+    rng = np.random.default_rng(2)
+    return [b" ".join(rng.choice([b"a", b"b", b"ab", b"ba", b"aab"], 40, p=[0.4, 0.3, 0.2, 0.09, 0.01])) for _ in range(60)]
+
+
+@pytest.mark.parametrize("before", [b"", b"a", b"ab b", b"bbbb a"])
+def test_probabilities_add_up(few, before):
+    """After any beginning, all words and the end share a probability of 1 at most, most of it among the words seen."""
+    model = learned(few, words=4)
+    strings = [bytes(s) for n in range(1, 5) for s in np.stack(np.meshgrid(*[[97, 98]] * n), -1).reshape(-1, n).astype(np.uint8)]
+    n = len(before.split())
+    total = sum(10 ** s[n] for s in scores(model, [before + b" " + w for w in strings])) + 10 ** scores(model, [before])[0][n]
+    assert 0.6 < total <= 1 + 1e-9
+
+
+def test_a_single_decision_by_hand():
+    """Mixing, gates and map of one layer against plain arithmetic, step after step."""
+    rng = np.random.default_rng(3)
+    layer = mixing.Layer((3, 4), 2, 2)
+    for c in layer.count:
+        c += rng.integers(0, 9, len(c))
+    layer.w += rng.normal(0, 0.3, layer.w.shape).astype(np.float32)
+    layer.map += rng.random(len(layer.map)) * 30
+    layer.settle()
+    slots, gate, bit = [rng.integers(0, 8, 50), rng.integers(0, 16, 50)], rng.integers(0, 2, 50), rng.integers(0, 2, 50)
+
+    def mixed(i):
+        st = [np.log((c[2 * s[i] + 1] + mixing.PRIOR) / (c[2 * s[i]] + mixing.PRIOR)) for c, s in zip(counts, slots)]
+        return st, float(np.clip(sum(w * x for w, x in zip(weights[:, gate[i]], [*st, 1.0])), -12, 12))
+
+    counts, weights, seen = [c.copy() for c in layer.count], layer.w.astype(float).copy(), layer.map.reshape(2, mixing.BINS, 2).copy()
+    got = layer.score(slots, gate, gate, bit)
+    for i in range(50):
+        z = mixed(i)[1]
+        at = (z + 12) / 24 * (mixing.BINS - 1)
+        low = min(int(at), mixing.BINS - 2)
+        near = [(seen[gate[i], b, 1] + 20 / (1 + np.exp(12 - 24 * b / (mixing.BINS - 1)))) / (seen[gate[i], b].sum() + 20) for b in (low, low + 1)]
+        p = (1 / (1 + np.exp(-z)) + near[0] + (near[1] - near[0]) * (at - low)) / 2
+        assert got[i] == pytest.approx(np.log10(p if bit[i] else 1 - p), abs=1e-4)
+    sums, slopes = layer.seen.copy(), np.zeros_like(weights)
+    for i in range(50):
+        st, z = mixed(i)
+        slopes[:, gate[i]] += (bit[i] - 1 / (1 + np.exp(-z))) * np.array([*st, 1.0])
+    slopes /= np.sqrt(np.maximum(np.bincount(gate, minlength=2), 1))
+    weights += mixing.RATE * slopes / np.sqrt(sums + slopes**2)
+    layer.learn(slots, gate, gate, bit)
+    assert np.allclose(layer.w, weights, atol=1e-4)
+    for c, before, s in zip(layer.count, counts, slots):
+        assert (c - before).tolist() == np.bincount(2 * s + bit, minlength=len(c)).tolist()
+
+
+def test_huffman_codes():
+    """No code is the beginning of another, and they are as short as the entropy allows."""
+    weights = np.array([50, 20, 10, 10, 5, 3, 1, 1])
+    node, bit, starts, size = mixing.huffman(weights)
+    codes = ["".join(map(str, bit[a : a + n])) for a, n in zip(starts, size)]
+    assert not any(a != b and b.startswith(a) for a in codes for b in codes) and sum(2.0**-size) == 1
+    p = weights / weights.sum()
+    assert -(p * np.log2(p)).sum() <= (p * size).sum() < -(p * np.log2(p)).sum() + 0.1
+    assert len(mixing.huffman([3])[0]) == 0
+
+
+def test_order_of_words_counts(few):
+    copies = [*few, *[b"x1 x2 x3 x4 x5 x6 x7 x8"] * 5]
+    ordered, mixed_up = scores(learned(copies), [b"x1 x2 x3 x4 x5 x6 x7 x8", b"x3 x1 x7 x2 x8 x6 x4 x5"])
+    assert ordered.sum() > mixed_up.sum() + 5
+
+
+def test_successors_by_hand():
+    rng = np.random.default_rng(4)
+    context, word = mixing._mix(rng.integers(0, 40, 3000).astype(np.uint64)), rng.integers(0, 4, 3000)
+    s = mixing.Successors(18)
+    for a in range(0, 3000, 3000):
+        s.learn(context[a : a + 3000], word[a : a + 3000])
+    s.settle()
+    for c in np.unique(context):
+        n = np.bincount(word[context == c], minlength=4)
+        at = int(c >> np.uint64(64 - 18))
+        assert s.hits[at] == n.max() and s.others[at] == n.sum() - n.max() and s.word[at] == n.argmax()
+
+
+def test_shards_add_up(few):
+    code = learned(few).code
+    parts = []
+    for texts in (few[:20], few[20:]):
+        model = mixing.Model(code)
+        model.learn(mixing.Tokens(texts, code, True))
+        parts.append({(k, b): d for k, b, d in model.blocks()})
+    whole = mixing.Model(code)
+    for key in sorted({*parts[0], *parts[1]}):
+        whole.take(*key, mixing.add_blocks(key[0], [p[key] for p in parts if key in p]))
+    for layer in whole.layers:
+        assert all(c.sum() == layer.n for c in layer.count)
+
+
+def test_batches_hold_whole_texts():
+    texts = [b"a bc " * 50, b"", b"x" * 100, b"one two"]
+    groups = list(mixing.batches_of(((t, i) for i, t in enumerate(texts)), 16, 64))
+    pieces = [p for g in groups for p in g]
+    assert [b"".join(p for p, _, i in pieces if i == k) for k in range(4)] == texts and max(len(p) for p, *_ in pieces) <= 64
+    assert [sum(end for _, end, i in pieces if i == k) for k in range(4)] == [1] * 4
+    assert all(p.endswith(b" ") for p, end, i in pieces if i == 0 and not end)
+
+
+def test_held_out_texts_cost_less_than_by_single_words(spark):
+    out = queries.op2_mixing(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) as s", "sum(base_score) as b").first()
+    assert out["s"] > 0.95 * out["b"]
 
 
 def test_mixing_odd_rows(odd, none):
