@@ -81,9 +81,9 @@ def test_probabilities_add_up(few, before):
 def test_a_single_decision_by_hand():
     """Mixing, gates and map of one layer against plain arithmetic, step after step."""
     rng = np.random.default_rng(3)
-    layer = mixing.Layer((3, 4), 2, 2)
+    layer = mixing.Layer((3, 4), 2, 2, (0,))
     for c in layer.count:
-        c += rng.integers(0, 9, len(c))
+        c += rng.integers(0, 9, len(c)).astype(np.int32)
     layer.w += rng.normal(0, 0.3, layer.w.shape).astype(np.float32)
     layer.map += rng.random(len(layer.map)) * 30
     layer.settle()
@@ -117,12 +117,16 @@ def test_a_single_decision_by_hand():
 def test_huffman_codes():
     """No code is the beginning of another, and they are as short as the entropy allows."""
     weights = np.array([50, 20, 10, 10, 5, 3, 1, 1])
-    node, bit, starts, size = mixing.huffman(weights)
-    codes = ["".join(map(str, bit[a : a + n])) for a, n in zip(starts, size)]
+    bits, size, shift = mixing.huffman(weights)
+    codes = [f"{b:0{n}b}" for b, n in zip(bits, size)]
     assert not any(a != b and b.startswith(a) for a in codes for b in codes) and sum(2.0**-size) == 1
     p = weights / weights.sum()
     assert -(p * np.log2(p)).sum() <= (p * size).sum() < -(p * np.log2(p)).sum() + 0.1
-    assert len(mixing.huffman([3])[0]) == 0
+    assert [x.tolist() for x in mixing.huffman([3])] == [[0], [0], [0]]
+    owner, node, bit = mixing._steps((bits, size, shift), np.arange(8))
+    assert ["".join(map(str, bit[owner == i])) for i in range(8)] == codes
+    beginnings = {(codes[i][:k], x) for i in range(8) for k, x in enumerate(node[owner == i])}
+    assert len(beginnings) == len({b for b, _ in beginnings}) == 7 and {x for _, x in beginnings} == set(range(7))
 
 
 def test_order_of_words_counts(few):
