@@ -52,8 +52,9 @@ def op7_toxicity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
-    out = suffix_dedup.dedup_substrings(documents(spark, d).select("doc_id", "text"))
-    return out.select("doc_id", "dedup.n_bytes", "dedup.n_removed", "dedup.n_spans", F.sha2("dedup.kept", 256).alias("kept_sha256"))
+    """``n_passages``: bytes of repeated strings of 200 bytes, which passages of some 50 words have; they stay if no string of 400 bytes covers them."""
+    out = suffix_dedup.dedup_substrings(documents(spark, d).select("doc_id", "text"), also=200)
+    return out.select("doc_id", "dedup.n_bytes", "dedup.n_removed", "dedup.n_spans", F.sha2("dedup.kept", 256).alias("kept_sha256"), F.col("dedup.n_also").alias("n_passages"))
 
 
 def op9_packing(spark: SparkSession, d: str) -> DataFrame:
@@ -106,6 +107,16 @@ ORACLE_SQL: dict[str, str] = {
             select doc_id, p, sum(fresh) over (partition by doc_id order by p) as run from e
         ), r as materialized (
             select doc_id, run, min(p) as a, max(p) + 400 as b from f group by doc_id, run
+        ), w2 as materialized (
+            select doc_id, p, md5(substr(x, 2 * p + 1, 400)) as k from (select doc_id, x, unnest(range(0, n - 199)) as p from h where n >= 200)
+        ), d2 as (
+            select doc_id, p from w2 where k in (select k from w2 group by k having count(*) > 1)
+        ), e2 as (
+            select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 200 then 0 else 1 end as fresh from d2
+        ), f2 as (
+            select doc_id, p, sum(fresh) over (partition by doc_id order by p) as run from e2
+        ), r2 as materialized (
+            select doc_id, run, min(p) as a, max(p) + 200 as b from f2 group by doc_id, run
         ), k as (
             select doc_id, a as place, coalesce(lag(b) over (partition by doc_id order by a), 0) as since, a as until from r
             union all select h.doc_id, h.n, coalesce(m.b, 0), h.n from h left join (select doc_id, max(b) as b from r group by doc_id) m on m.doc_id = h.doc_id
@@ -113,9 +124,11 @@ ORACLE_SQL: dict[str, str] = {
             select k.doc_id, string_agg(substr(h.x, 2 * since + 1, 2 * (until - since)), '' order by place) as kept from k join h on h.doc_id = k.doc_id group by k.doc_id
         ), s as (
             select doc_id, sum(b - a) as removed, count(*) as spans from r group by doc_id
+        ), s2 as (
+            select doc_id, sum(b - a) as covered from r2 group by doc_id
         )
-        select h.doc_id, cast(h.n as bigint) as n_bytes, cast(coalesce(s.removed, 0) as bigint) as n_removed, coalesce(s.spans, 0) as n_spans, sha256(unhex(t.kept)) as kept_sha256
-        from h join t on t.doc_id = h.doc_id left join s on s.doc_id = h.doc_id""",
+        select h.doc_id, cast(h.n as bigint) as n_bytes, cast(coalesce(s.removed, 0) as bigint) as n_removed, coalesce(s.spans, 0) as n_spans, sha256(unhex(t.kept)) as kept_sha256, cast(coalesce(s2.covered, 0) as bigint) as n_passages
+        from h join t on t.doc_id = h.doc_id left join s on s.doc_id = h.doc_id left join s2 on s2.doc_id = h.doc_id""",
     "op6_line_dedup": r"""
         with l as (
             select doc_id, unnest(range(1, len(a) + 1)) as i, unnest(a) as line

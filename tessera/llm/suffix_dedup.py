@@ -1,9 +1,9 @@
 """Removal of long repeated byte strings by column-wise suffix sorting of many passages.
 
-1. Anchors. Of every ``length - GRAM + 1`` neighbouring grams of ``GRAM`` bytes the one of least hash is an anchor. Whether a gram is
-   chosen depends only on the bytes around it, so two equal strings of ``length`` bytes have an anchor at the same place. Only hashes of
-   anchors (about one for 100 bytes) are shuffled, with a digest of the passage around each: all bytes that a string of ``length``
-   bytes through the anchor can reach.
+1. Anchors. Of every ``length - gram + 1`` neighbouring grams the one of least hash is an anchor. Whether a gram is chosen depends only on the bytes
+   around it, so two equal strings of ``length`` bytes have an anchor at the same place. First only the hashes of anchors are counted (about
+   one for each ``gram / 2`` bytes). Most occur once and are left out from there on, by a bitmap of fixed size that lets some others pass too.
+   For the rest a digest of the passage around goes along: all bytes that a string of ``length`` bytes through the anchor can reach.
 2. Equal passages. Where the same anchor has the same passage twice, the whole passage is repeated. Copies end here.
 3. Unequal passages. What shares an anchor but not the passage is compared: one passage of each kind, lined up at the anchor.
    From the last column to the first, one symbol of every passage is put in front of its suffix: the column's symbols in
@@ -12,7 +12,8 @@
    need only be compared with each other, so a column replaces the last one (positional transform) and a round
    costs one step a passage.
 
-All lengths are judged on the input, so the result does not depend on any order of removal.
+Texts are moved only if they hold such a passage, or lose bytes; a bitmap of fixed size tells which do not. If a bitmap fills up, more is moved and results
+stay the same. All lengths are judged on the input, so the result does not depend on any order of removal.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, partitions
 
-#: Bytes of a gram (half of the default length), bytes hashed at a time, passages sorted at a time.
-GRAM, BATCH, TOGETHER = 200, 1 << 20, 8192
+#: Bytes of a gram at most (or half of the least length), bytes hashed at a time, passages sorted at a time, bits of a bitmap.
+GRAM, BATCH, TOGETHER, BITS = 200, 1 << 20, 8192, 1 << 26
 
 _VALUES = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -71,19 +72,17 @@ def anchors(data: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.
     return at, h[at]
 
 
-def repeated_starts(passages: list[bytes], left: np.ndarray, group: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """First and last start, from the anchor, of the strings of ``length`` bytes that another passage of the group has too; 1 and 0 if none.
+def repeated_starts(passages: list[bytes], left: np.ndarray, group: np.ndarray, lengths: list[int], gram: int = GRAM) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length: first and last start, from the anchor, of the strings of so many bytes through it that another passage of the group has too; 1 and 0 if none.
 
     ``left`` is the number of bytes before the anchor; ``group`` ascends. Passages of a group differ.
     """
-    m, reach = len(passages), length - gram
-    low, high = np.full(m, 1, np.int64), np.zeros(m, np.int64)
+    m, length = len(passages), max(lengths)
+    reach, out = length - gram, [(np.full(m, 1, np.int64), np.zeros(m, np.int64)) for _ in lengths]
     columns = np.zeros((reach + length, m), np.uint16)  # 0: the document has no byte there
     for i, p in enumerate(passages):
         at = reach - left[i]
         columns[at : at + len(p), i] = np.frombuffer(p, np.uint8)
-    for i, p in enumerate(passages):
-        at = reach - left[i]
         columns[at : at + len(p), i] += 1
     group = np.unique(group, return_inverse=True)[1]
     head = np.append(True, group[1:] != group[:-1])  # places of a group stay the same through all rounds
@@ -105,42 +104,74 @@ def repeated_starts(passages: list[bytes], left: np.ndarray, group: np.ndarray,
                 spans[::2], spans[1::2] = by[pair - 1] + 1, by[pair] + 1
                 grown[pair] = np.minimum.reduceat(common, spans)[::2] + 1
             order, common = order[by], grown
-        if c <= reach:
-            hit = np.flatnonzero(common[:m] >= length)
-            found = order[np.concatenate([hit - 1, hit])]
-            none = low[found] > high[found]
-            high[found[none]] = c - reach
-            low[found] = c - reach
-    return low, high
-
+        for size, (low, high) in zip(lengths, out):
+            if gram - size <= c - reach <= 0:  # the string holds the anchor's gram
+                hit = np.flatnonzero(common[:m] >= size)
+                found = order[np.concatenate([hit - 1, hit])]
+                none = low[found] > high[found]
+                high[found[none]] = c - reach
+                low[found] = c - reach
+    return out
+
+
+def bitmap(keys: DataFrame, key: str):
+    """The keys (long) as ``BITS`` bits, sent to all tasks, and a test for numbers: false only for those that are surely not among them."""
+    at = F.pmod(F.col(key), F.lit(BITS))
+    rows = keys.select(F.shiftright(at, 15).cast("int").alias("part"), at.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    bits = np.zeros(BITS // 8, np.uint8)
+    for r in rows:  # BITS / 32768 rows at most, of 4 KB
+        bits[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(bits)
+
+    def test(x: np.ndarray) -> np.ndarray:
+        x = x % BITS
+        return (shared.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1
+
+    return test
+
+
+def spans_of(docs: DataFrame, key: str, text_col: str, lengths: list[int]) -> DataFrame:
+    """``key, kind, start, end`` of stretches that are repeated for the length of number ``kind``, which may overlap; ``key`` (binary) tells different texts apart."""
+    least, length = min(lengths), max(lengths)
+    gram = min(GRAM, least // 2)
+    reach = length - gram
+    rows = docs.select(F.col(key).alias("rid"), F.col(text_col).alias("text")).where(F.octet_length("text") >= least)
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [anchors(text.as_py().encode("utf-8", "replace"), least, gram)[1] for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))], ["h"])
 
-def spans_of(docs: DataFrame, key: str, text_col: str, length: int = 400) -> DataFrame:
-    """``key, start, end`` of repeated stretches, which may overlap; ``key`` (long) tells different texts apart."""
-    gram, reach = min(GRAM, length // 2), length - min(GRAM, length // 2)
-    rows = docs.select(F.col(key).alias("rid"), F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
+    counted = rows.select("text").mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    shared = bitmap(counted, "h")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = text.as_py().encode("utf-8", "replace")
-                at, hashes = anchors(data, length, gram)
+                at, found = anchors(data, least, gram)
+                passing = shared(found.view(np.int64))
+                at, found = at[passing], found[passing]
                 left, right = np.minimum(at, reach), np.minimum(len(data) - at, length)
                 digests = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip((at - left).tolist(), (at + right).tolist())]
-                for column, values in zip(out, (np.full(len(at), rid), hashes.view(np.int64), np.array(digests, np.uint64).view(np.int64), at, left, right)):
+                for column, values in zip(out, ([rid] * len(at), found.view(np.int64), np.array(digests, np.uint64).view(np.int64), at, left, right)):
                     column.append(values)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)).cast(t) for c, t in zip(out, [pa.int64()] * 3 + [pa.int32()] * 3)], names)
+            rids = pa.array([r for part in out[0] for r in part], pa.binary())
+            yield pa.RecordBatch.from_arrays([rids] + [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)).cast(t) for c, t in zip(out[1:], [pa.int64()] * 2 + [pa.int32()] * 3)], names)
 
     names = ["rid", "h", "d", "pos", "l", "r"]
-    found = cut(rows.mapInArrow(find, "rid long, h long, d long, pos int, l int, r int"))
+    found = cut(rows.mapInArrow(find, "rid binary, h long, d long, pos int, l int, r int"))
     kinds = found.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos", "l", "r")).alias("one"))
     anchors_ = kinds.groupBy("h").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where(F.col("all") > 1).drop("all")
     kinds = cut(kinds.join(anchors_, "h"))
-    equal = found.join(kinds.where("n > 1").select("h", "d"), ["h", "d"]).select("rid", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end"))
+    equal = found.join(kinds.where("n > 1").select("h", "d"), ["h", "d"])
+    equal = equal.select("rid", F.explode(F.array(*(F.when(F.col("l") + F.col("r") >= size, F.lit(i)) for i, size in enumerate(lengths)))).alias("kind"), (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end")).where("kind is not null")
 
     # a kind that occurs once is looked for in the others; one that occurs more often is covered above and only compared with
     wanted = kinds.where("kinds > 1").select("h", (F.col("n") == 1).alias("single"), "one.*").groupBy("rid").agg(F.collect_list(F.struct("h", "single", "pos", "l", "r")).alias("places"))
-    held = rows.hint("merge").join(wanted, "rid")
+    wanted = cut(wanted)
+    held = among(rows, wanted, "rid").hint("merge").join(wanted, "rid")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,17 +180,17 @@ def spans_of(docs: DataFrame, key: str, text_col: str, length: int = 400) -> Dat
                 data = text.as_py().encode("utf-8", "replace")
                 out += [(p["h"], p["single"], rid, p["pos"], p["l"], data[p["pos"] - p["l"] : p["pos"] + p["r"]]) for p in places]
             columns = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["h", "single", "rid", "pos", "l", "passage"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int32(), pa.binary()))], ["h", "single", "rid", "pos", "l", "passage"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def settle(part: list[tuple]) -> pa.RecordBatch:
             unique = list({(r[0], r[2], r[3]): r for r in part}.values())  # rows that repeat hold the same place
-            low, high = repeated_starts([r[5] for r in unique], np.array([r[4] for r in unique]), np.array([r[0] for r in unique]), length, gram)
-            hits = [(r[2], int(r[3] + a), int(r[3] + b + length)) for r, a, b in zip(unique, low, high) if a <= b and r[1]]
-            columns = list(zip(*hits)) or [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()))], ["rid", "start", "end"])
+            found = repeated_starts([r[5] for r in unique], np.array([r[4] for r in unique]), np.array([r[0] for r in unique]), lengths, gram)
+            hits = [(r[2], i, int(r[3] + a), int(r[3] + b + size)) for i, (size, (low, high)) in enumerate(zip(lengths, found)) for r, a, b in zip(unique, low, high) if a <= b and r[1]]
+            columns = list(zip(*hits)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int32(), pa.int32()))], ["rid", "kind", "start", "end"])
 
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
@@ -170,11 +201,22 @@ def spans_of(docs: DataFrame, key: str, text_col: str, length: int = 400) -> Dat
         if held:
             yield settle(held)
 
-    passages = held.select("rid", "text", "places").mapInArrow(extract, "h long, single boolean, rid long, pos int, l int, passage binary")
-    unequal = passages.repartition(partitions(docs.sparkSession), "h").sortWithinPartitions("h").mapInArrow(compare, "rid long, start int, end int")
+    passages = held.select("rid", "text", "places").mapInArrow(extract, "h long, single boolean, rid binary, pos int, l int, passage binary")
+    unequal = passages.repartition(partitions(docs.sparkSession), "h").sortWithinPartitions("h").mapInArrow(compare, "rid binary, kind int, start int, end int")
     return equal.union(unequal).withColumnRenamed("rid", key)
 
 
+def among(rows: DataFrame, keys: DataFrame, key: str, apart: bool = False) -> DataFrame:
+    """The rows whose binary key may be among the keys; ``apart``: the others instead."""
+    test = bitmap(keys.select(F.xxhash64(key).alias("h")), "h")
+
+    @F.pandas_udf("boolean")
+    def passes(h: pd.Series) -> pd.Series:
+        return pd.Series(test(h.to_numpy(np.int64)))
+
+    return rows.where(~passes(F.xxhash64(key)) if apart else passes(F.xxhash64(key)))
+
+
 def remove_spans(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int, int]:
     """What is left of the bytes, how many are gone, and in how many stretches."""
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
@@ -185,30 +227,39 @@ def remove_spans(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes
     return data[~gone].tobytes(), int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum())
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, out: str = "dedup", as_text: bool = False) -> DataFrame:
-    """The documents with a column ``out``: ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans`` (long).
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, out: str = "dedup", as_text: bool = False, also: int | None = None) -> DataFrame:
+    """The documents with a column ``out``: ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans``, ``n_also`` (long).
 
-    Each byte goes that a string of ``length`` bytes covers which also starts anywhere else, in this document or another. Null
-    texts are empty, texts below ``length`` stay whole. A row that repeats with the same id is a place like any other, so its text
+    Each byte goes that a string of ``length`` bytes covers which also starts anywhere else, in this document or another. ``n_also`` counts the bytes
+    covered by such strings of ``also`` bytes, which stay (null if not asked for). Null texts are empty, texts below ``length`` stay whole. A row that repeats with the same id is a place like any other, so its text
     goes too. A stretch may end inside a character: ``kept`` holds the bytes as they are, or with ``as_text`` a string without
-    the characters that were cut.
+    the characters that were cut. An empty table gives no rows. A column named ``out`` is replaced; all others stay, whatever their names.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("_rid", F.xxhash64(id_col, text))
-    spans = spans_of(keyed, "_rid", text_col, length).groupBy("_rid").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    lengths = [length, *([also] if also else [])]
     kind = "string" if as_text else "binary"
-    schema = f"kept {kind}, n_bytes long, n_removed long, n_spans long"
+    schema = f"kept {kind}, n_bytes long, n_removed long, n_spans long, n_also long"
+    inner = F.col("d")
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))  # no name of the input can clash with those used here
+    text = F.coalesce(inner[text_col], F.lit(""))
+    rid = F.unhex(F.md5(F.concat(F.coalesce(inner[id_col].cast("string"), F.lit("")), F.lit("\0"), text)))  # 128 bits
+    keyed = row.select("d", rid.alias("rid"))
+    found = cut(spans_of(keyed.select("rid", text.alias("text")), "rid", "text", lengths))
+    spans = found.groupBy("rid").agg(*(F.collect_list(F.when(F.col("kind") == i, F.struct("start", "end"))).alias(f"spans{i}") for i in range(len(lengths))))
 
     @F.pandas_udf(schema)
-    def cut_out(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
-        rows = [(None, 0, 0, 0) if t is None else (lambda kept, n, s: (kept, len(kept) + n, n, s))(*remove_spans(t, np.asarray(a), np.asarray(b))) for t, a, b in zip(texts, starts, ends)]
-        frame = pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans"])
-        if as_text:
-            frame["kept"] = [k if k is None else k.decode("utf-8", "ignore") for k in frame["kept"]]
-        return frame
-
-    joined = keyed.hint("merge").join(spans, "_rid", "left")
-    some = F.col("_spans").isNotNull()
-    joined = joined.withColumn("_cut", cut_out(F.when(some, text), F.transform("_spans", lambda s: s["start"]), F.transform("_spans", lambda s: s["end"])))
-    whole = F.struct(text.cast(kind).alias("kept"), F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
-    return joined.withColumn(out, F.when(some, F.col("_cut")).otherwise(whole)).drop("_rid", "_spans", "_cut")
+    def cut_out(texts: pd.Series, starts: pd.Series, ends: pd.Series, others: pd.Series, until: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, a, b, c, d in zip(texts, starts, ends, others, until):
+            kept, n, stretches = remove_spans(t, np.asarray(a), np.asarray(b))
+            more = remove_spans(t, np.asarray(c), np.asarray(d))[1] if also else None
+            rows.append((kept.decode("utf-8", "ignore") if as_text else kept, len(kept) + n, n, stretches, more))
+        return pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans", "n_also"])
+
+    last = f"spans{len(lengths) - 1}"
+    joined = among(keyed, found, "rid").hint("merge").join(spans, "rid", "left")
+    of = lambda c, end: F.transform(F.coalesce(F.col(c), F.array().cast("array<struct<start:int,end:int>>")), lambda s: s[end])
+    joined = joined.select("d", cut_out(text, of("spans0", "start"), of("spans0", "end"), of(last, "start"), of(last, "end")).alias("o"))
+    size, zero = F.octet_length(text).cast("long"), F.lit(0).cast("long")
+    whole = F.struct(text.cast(kind).alias("kept"), size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), (zero if also else F.lit(None).cast("long")).alias("n_also"))
+    both = joined.unionByName(among(keyed, found, "rid", apart=True).select("d", whole.alias("o")))
+    return both.select(*(inner[c].alias(c) for c in docs.columns if c != out), F.col("o").alias(out))

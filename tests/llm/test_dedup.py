@@ -165,11 +165,25 @@ def test_passages_match_brute_force(frame, length):
             parts += [s[a : len(s) - rng.randint(0, len(s) // 3)], draw(rng.randint(0, length))]
         texts.append("".join(parts))
     texts += [None, "", "a" * (length - 1), "ab" * length, "c" * (3 * length), texts[0], texts[0]]
-    got = suffix_dedup.dedup_substrings(frame(texts), length=length).orderBy("doc_id").collect()
+    got = suffix_dedup.dedup_substrings(frame(texts), length=length, also=length // 2).orderBy("doc_id").collect()
     wanted = brute_passages(texts, length)
+    assert [r["dedup"]["n_also"] for r in got] == [n for _, n, *_ in brute_passages(texts, length // 2)]
     assert [(r["dedup"]["n_bytes"], r["dedup"]["n_removed"], r["dedup"]["n_spans"], bytes(r["dedup"]["kept"])) for r in got] == wanted
 
 
+def test_full_bitmaps_change_nothing(frame, monkeypatch):
+    rng = random.Random(9)
+    draw = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages = [draw(500) for _ in range(3)]
+    texts = [draw(300) + rng.choice(passages) + draw(300) for _ in range(12)] + [draw(900) for _ in range(5)]
+    monkeypatch.setattr(suffix_dedup, "BITS", 1 << 15)
+    some = suffix_dedup.bitmap(frame(texts).selectExpr("doc_id * 7 - 20 as h"), "h")
+    assert some(np.arange(len(texts)) * 7 - 20).all() and some(np.arange(-1000, 1000)).sum() == len(texts)
+    monkeypatch.setattr(suffix_dedup, "bitmap", lambda keys, key: lambda x: np.ones(len(x), bool))
+    got = suffix_dedup.dedup_substrings(frame(texts)).orderBy("doc_id").collect()
+    assert [bytes(r["dedup"]["kept"]) for r in got] == [b for *_, b in brute_passages(texts, 400)]
+
+
 def test_anchors_of_long_texts(monkeypatch):
     data = bytes(np.random.default_rng(1).integers(97, 105, 5000, dtype=np.uint8))
     whole = suffix_dedup.anchors(data, 400)
@@ -184,4 +198,6 @@ def test_passages_odd_rows(odd, none):
     row = {r["doc_id"]: r["dedup"] for r in out.collect()}
     assert row[2]["n_bytes"] == 0 and row[5]["n_removed"] == row[5]["n_bytes"] and row[1]["kept"] == "Hello the world"
     assert suffix_dedup.dedup_substrings(none).count() == 0
+    clash = odd.selectExpr("doc_id", "text", "source as rid", "source as d", "source as o", "size as spans0", "length as kind", "dropped as start", "lang as h", "lang as `a.b`")
+    assert suffix_dedup.dedup_substrings(clash).drop("dedup").collect() and suffix_dedup.dedup_substrings(clash).columns == [*clash.columns, "dedup"]
     assert hashlib.sha256(b"").hexdigest()  # the digest that an empty text has in the query
