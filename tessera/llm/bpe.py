@@ -1,22 +1,23 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-A long text is cut into chunks that overlap. Each chunk is pre-tokenised by itself, so chunks are independent work. The
+Every text is cut into chunks that overlap. Each chunk is pre-tokenised by itself, so chunks are independent work. The
 pattern looks ahead but never back: what follows a boundary depends only on the text from there on. So where two chunks have a
 boundary in common inside their overlap, they agree from there on, and the second takes over. The last boundaries of a chunk
 can still be moved by text beyond its end and are left out. If an overlap has no common boundary (one giant run), the
-text from the last sure boundary is pre-tokenised again with a longer chunk, so results are always those of the whole text.
+text from the last sure boundary is pre-tokenised again with a longer chunk, so results are always those of the whole text. This holds for any pattern that
+does not look back and looks at most ``LOOK`` characters ahead of a pre-token that ends there.
 
-A pre-token never goes on from another character to a space, so a text falls at its spaces into units that are
-encoded alike wherever they stand, unless a run of white space has a space inside or at the end of the text. Ids of units are
-remembered, and only new units are pre-tokenised and merged.
+Then pieces are encoded; the ids of pieces that were met are remembered.
 """
 
 from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ import regex
 import tiktoken
 from pyspark.sql import functions as F
 
-#: Code points of a chunk and of its overlap with the next; look-ahead of the pattern; units whose ids are remembered.
-CHUNK, OVERLAP, LOOK, REMEMBERED = 1 << 16, 1024, 4, 300_000
+#: Code points of a chunk and of its overlap with the next; look-ahead of the pattern; pieces whose ids are remembered.
+CHUNK, OVERLAP, LOOK, REMEMBERED = 2048, 96, 4, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -33,97 +34,108 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def chunk_boundaries(found: regex.Pattern, text: str, at: int, end: int) -> list[int]:
-    """Ends of the pre-tokens of ``text[at:end]``; those that the text beyond ``end`` may move are left out."""
-    ends = [at + m.end() for m in found.finditer(text[at:end])]
+def pre_tokens(find: Callable[[str], list[str]], text: str, start: int, end: int) -> tuple[list[str], list[int]]:
+    """The pre-tokens of ``text[start:end]`` and their ends; those that the text beyond ``end`` may move are left out."""
+    found = find(text[start:end])
+    ends = list(accumulate(map(len, found), initial=start))[1:]
     if end < len(text):
-        while ends and ends[-1] > end - LOOK:
-            ends.pop()
-    return ends
+        keep = bisect_right(ends, end - LOOK)
+        del found[keep:], ends[keep:]
+    return found, ends
 
 
-def stitch(found: regex.Pattern, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """Ends of the pre-tokens of a whole text, from its chunks."""
+def stitch(find: Callable[[str], list[str]], text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+    """The pre-tokens of a whole text, from its chunks, in time that grows with its length."""
     n = len(text)
-    if n <= chunk:
-        return chunk_boundaries(found, text, 0, n)
-    starts = list(range(0, max(n - overlap, 1), chunk - overlap))
-    parts = [chunk_boundaries(found, text, s, min(s + chunk, n)) for s in starts]
-    out = parts[0]
-    for s, part in zip(starts[1:], parts[1:]):
-        if out and out[-1] >= min(s + chunk, n):
+    out, ends = pre_tokens(find, text, 0, min(chunk, n))
+    done, at = [], 0  # ``out`` begins at ``at``
+    for start in range(chunk - overlap, n - overlap, chunk - overlap):
+        end = min(start + chunk, n)
+        last = ends[-1] if ends else at
+        if last >= end:
             continue  # a giant run has been followed to beyond this chunk
-        low = np.searchsorted(out, s, side="right")
-        shared = np.intersect1d(out[low:], part)
-        if len(shared):
-            meet = int(shared[0])
-            out = out[: np.searchsorted(out, meet, side="right")] + part[np.searchsorted(part, meet, side="right") :]
+        more, more_ends = pre_tokens(find, text, start, end)
+        known = set(ends[bisect_right(ends, start) :])
+        k = next((k for k, e in enumerate(more_ends) if e in known), None)
+        if k is None:
+            # no boundary in common: go on from the last sure one, with ever longer pieces
+            done += out
+            at, size = last, chunk
+            while True:
+                out, ends = pre_tokens(find, text, at, min(at + size, n))
+                if ends or at + size >= n:
+                    break
+                size *= 2
             continue
-        # no boundary in common: go on from the last sure one, with ever longer pieces, until this chunk is met or done
-        at, end = (out[-1] if out else 0), min(s + chunk, n)
-        while True:
-            more = chunk_boundaries(found, text, at, end)
-            if more or end == n:
-                break
-            end = min(n, at + 2 * (end - at))
-        shared = np.intersect1d(more, part)
-        if len(shared):
-            meet = int(shared[0])
-            more = more[: np.searchsorted(more, meet, side="right")] + part[np.searchsorted(part, meet, side="right") :]
-        out = out + more
-    return out
+        keep = bisect_right(ends, more_ends[k])
+        done += out[:keep]
+        out, ends, at = more[k + 1 :], more_ends[k + 1 :], more_ends[k]
+    done += out
+    last = ends[-1] if ends else at
+    if last < n:  # the run of a chunk that was passed over
+        done += pre_tokens(find, text, last, n)[0]
+    return done
 
 
 class Codec:
     """Encoder and decoder of a table of ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.found, self.odd = regex.compile(pattern), regex.compile(r"\s (?:\s|\Z)")
-        self.merge = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.find = regex.compile(pattern).findall
+        self.merge = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.known: dict[str, bytes] = {}
-        self.known_pieces: dict[str, bytes] = {}
-
-    def _merged(self, pieces: list[str]) -> bytes:
-        return b"".join([array("I", self.merge(p.encode())).tobytes() for p in pieces])
-
-    def _piece(self, text: str) -> bytes:
-        """Ids of a text up to a chunk."""
-        if self.odd.search(text):
-            return self._merged(self.found.findall(text))
-        first, *units = text.split(" ")
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for unit in set(units).difference(known):
-            known[unit] = self._merged(self.found.findall(" " + unit))
-        return (self._merged(self.found.findall(first)) if first else b"") + b"".join(map(known.__getitem__, units))
 
     def encode(self, text: str) -> bytes:
         """Ids as unsigned 32-bit numbers of the machine's byte order."""
-        if len(text) <= CHUNK:
-            return self._piece(text)
-        ends, known = stitch(self.found, text), self.known_pieces
-        pieces = [text[a:b] for a, b in zip([0, *ends], ends)]
+        pieces, known = stitch(self.find, text), self.known
         if len(known) > REMEMBERED:
             known.clear()
         for piece in set(pieces).difference(known):
-            known[piece] = self._merged([piece])
+            known[piece] = array("I", self.merge(piece)).tobytes()
         return b"".join(map(known.__getitem__, pieces))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+class SpacedCodec(Codec):
+    """The same ids, faster, for patterns by which a pre-token never goes on from another character to a space.
+
+    Then a text falls at its spaces into units that are encoded alike wherever they stand, unless a run of white space has a space
+    inside or at the end of the text. Ids of units are remembered, and only new units are pre-tokenised and merged.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__(ranks, pattern)
+        self.odd = regex.compile(r"\s (?:\s|\Z)")
+        self.units: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> bytes:
+        if self.odd.search(text):
+            return super().encode(text)
+        first, *units = text.split(" ")
+        known = self.units
+        if len(known) > REMEMBERED:
+            known.clear()
+        for unit in set(units).difference(known):
+            known[unit] = array("I", self.merge(" " + unit)).tobytes()
+        return (array("I", self.merge(first)).tobytes() if first else b"") + b"".join(map(known.__getitem__, units))
+
+
 @lru_cache(2)
 def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
 def encoder(path: str, pattern: str):
-    """A Column function from text to ids (array<int>). Null and empty texts give an empty array."""
+    """A Column function from text to ids (array<int>).
+
+    Null and empty texts give an empty array, texts of any length are encoded whole, equal texts alike, an empty table gives no rows. A Column has no name
+    to clash with.
+    """
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
@@ -136,7 +148,7 @@ def encoder(path: str, pattern: str):
 
 
 def decoder(path: str, pattern: str):
-    """A Column function from ids to the bytes that they stand for. Null ids give no bytes; an unknown id raises."""
+    """A Column function from ids to the bytes that they stand for. Null and empty arrays give no bytes; an unknown or null id raises."""
 
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)

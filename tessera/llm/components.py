@@ -15,6 +15,8 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """``id, component`` (smallest id reachable) for every id of an edge table ``a, b`` (long); empty for no edges.
 
+    Edges that repeat count once; an edge with a null end, or from an id to itself, links nothing and gives no row.
+
     Each round hangs an id's larger neighbours on its smallest neighbour, then the smaller ones. Neighbours are never
     collected: minima are combined inside tasks and joined back, and the table stays as long as it was. The
     rounds needed grow with the logarithm of the longest path. Each round is cut off in the shared folder.

@@ -163,6 +163,9 @@ def with_repeats(docs: DataFrame, width: int = 8) -> DataFrame:
     return out.withColumn("_repeat", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), slow).otherwise(0).cast("long")).drop("_h")
 
 
+OUTPUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "word_js", "class_js", "base_failed", "kept")
+
+
 def judge(docs: DataFrame, refs: References, text_col: str = "text", lang_col: str | None = None, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS, most_words_js: float = MOST_WORDS_JS, most_chars_js: float = MOST_CHARS_JS) -> DataFrame:
     """The documents with counts (long), ``base_failed``, ``word_js``, ``class_js`` (0 to 1, null if not measurable) and ``kept``.
 
@@ -170,7 +173,8 @@ def judge(docs: DataFrame, refs: References, text_col: str = "text", lang_col: s
     Null and empty texts have no words and fail the base rules. Without references (no row has a language) nothing is
     far. Rows that repeat are judged each. Input columns named like an output are replaced.
     """
-    out = with_repeats(with_runs(with_classes(with_words(docs, text_col)), refs))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text_col).alias("_in"))  # no name of the input can clash with those used here
+    out = with_repeats(with_runs(with_classes(with_words(row, "_in")), refs))
     lines = F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
     out = out.withColumn("_lines", lines)
     out = out.withColumns({
@@ -180,7 +184,8 @@ def judge(docs: DataFrame, refs: References, text_col: str = "text", lang_col: s
     })
     far = ((F.col("n_words") >= least_words) & ((F.col("word_js") > most_words_js) | lacks_common_words(refs))) | ((F.col("_chars") >= least_chars) & (F.col("class_js") > most_chars_js))
     if lang_col is not None and refs.classes:
-        far = far & (F.col(lang_col).isNull() | F.col(lang_col).isin(list(refs.classes)))
+        lang = F.col("_row")[lang_col]
+        far = far & (lang.isNull() | lang.isin(list(refs.classes)))
     out = out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     out = out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
-    return out.drop("_text", "_rare", "_words", "_n", "_chars", "_word_chars", *(f"_c_{k}" for k in _HISTOGRAM), "_runs", "_repeat", "_lines")
+    return out.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c not in OUTPUT), *OUTPUT)

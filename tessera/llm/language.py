@@ -170,7 +170,11 @@ def predictor(known: list[str], logp: np.ndarray, unknown: bool = False):
 
 
 def identify(docs: DataFrame, train: DataFrame, text_col: str = "text", lang_col: str = "lang", out: str = "language", unknown: bool = False) -> DataFrame:
-    """The documents with a column ``out`` (see ``predictor``), by languages learned from ``train``. Only texts go to Python."""
+    """The documents with a column ``out`` (see ``predictor``), by languages learned from ``train``. Only texts go to Python.
+
+    Training rows with a null text or label teach nothing, rows that repeat count each, more than ``MOST_LANGUAGES`` labels raise (a table of ``BUCKETS`` numbers a
+    label goes to every task). An empty ``train`` gives ``und`` everywhere, an empty ``docs`` no rows. A column named ``out`` is replaced; all others stay.
+    """
     udf = predictor(*fit(train, text_col, lang_col), unknown)
     return docs.withColumn(out, udf(F.col(text_col)))
 

@@ -45,7 +45,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = F.row_number().over(Window.partitionBy("_h1", "_h2", "_id").orderBy("_pos"))
     holders = ranged.withColumn("_nth", first).where("_nth = 1")
     common = holders.groupBy("_h1", "_h2").agg(F.count("*").alias("_docs"), F.max("_id").alias("_keeper")).where(F.col("_docs") >= min_docs)
-    dropped = lines.join(common, ["_h1", "_h2"]).where("_id <> _keeper")
+    # one row a common line, written: so the join's two sides are plain exchanges and a line that many documents hold is split over tasks
+    dropped = lines.join(cut(common).hint("merge"), ["_h1", "_h2"]).where("_id <> _keeper")
     dropped = dropped.groupBy(*_KEY).agg(F.sort_array(F.collect_set("_pos")).alias("dropped"))
     # a run of kept lines lies between one dropped position and the next; the last run has no known end yet (-1)
     starts = F.concat(F.array(F.lit(0)), F.transform("dropped", lambda p: p + 1))
@@ -67,13 +68,14 @@ def apply_bitmap(lines: Column, bitmap: Column) -> Column:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """The documents with their text shortened, and the counts of lines before and of lines dropped (long).
 
-    Every input column is kept. Null texts become empty. See ``keep_bitmaps`` for what is dropped.
+    Every input column is kept, but for those named like the counts, which are replaced. Null and empty texts are one empty line; repeated rows
+    are shortened alike; an empty table gives no rows. See ``keep_bitmaps`` for what is dropped.
     """
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))  # no name of the input can clash with those used here
+    own, text = F.col("_row")[id_col], F.coalesce(F.col("_row")[text_col], F.lit(""))
     bitmaps = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs).toDF("_bitmap_id", "_bitmap_hash", "_dropped", "_keep_bitmap")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.withColumn("_hash", F.xxhash64(text)).join(bitmaps, (F.col(id_col) == F.col("_bitmap_id")) & (F.col("_hash") == F.col("_bitmap_hash")), "left")
-    # the counts come first: withColumn below replaces the text they are taken from
-    joined = joined.withColumn(n_lines, (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"))
-    joined = joined.withColumn(n_dropped, F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"))
-    kept = F.when(F.col("_keep_bitmap").isNull(), text).otherwise(apply_bitmap(split_lines(F.col(text_col)), F.col("_keep_bitmap")))
-    return joined.withColumn(text_col, kept).drop("_hash", "_bitmap_id", "_bitmap_hash", "_dropped", "_keep_bitmap")
+    joined = row.withColumn("_hash", F.xxhash64(text)).join(bitmaps, (own == F.col("_bitmap_id")) & (F.col("_hash") == F.col("_bitmap_hash")), "left")
+    kept = F.when(F.col("_keep_bitmap").isNull(), text).otherwise(apply_bitmap(split_lines(text), F.col("_keep_bitmap")))
+    n = (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    columns = [(kept if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns if c not in (n_lines, n_dropped)]
+    return joined.select(*columns, n.alias(n_lines), F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias(n_dropped))

@@ -8,7 +8,8 @@ Buckets are not turned into pairs. Documents with equal sets share one represent
 that sits in the largest buckets, so the buckets of a family of copies agree on a centre, and a document belongs to
 the cluster of every centre that its buckets name: any two documents of one bucket are in one cluster. Each cluster
 gets its texts once and is compared on full sets, first with its centre, then whatever that left apart with all others. A cluster
-of more than ``BLOCK`` documents is compared block against block in as many tasks. Only spanning links leave a task.
+of more than ``BLOCK`` documents is dealt into blocks, each of which gets the centre; what no block links to the centre is
+compared with all other blocks too. Only spanning links leave a task.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import among, cut
 from tessera.llm.components import components
 
 #: Coordinates of a band; chance to miss a pair at the very threshold; documents of a block; words and coordinate cells at a time.
@@ -142,6 +143,12 @@ def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
             done.add(i)
 
 
+def components_within(links: DataFrame) -> DataFrame:
+    """``centre, rep`` of those that links join to their cluster's centre inside their block, from links that span each block's parts."""
+    at_centre = links.where("a = centre or b = centre").select("centre", F.when(F.col("a") == F.col("centre"), F.col("b")).otherwise(F.col("a")).alias("rep"))
+    return at_centre.distinct()
+
+
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """``id, n_shingles, component`` for every row: the smallest id that links reach, itself included.
 
@@ -153,9 +160,9 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     signed = cut(texts.mapInArrow(_signatures(words, bands), "id long, n_shingles long, set_key binary, bands array<long>"))
     sets = signed.where("n_shingles > 0")
-    reps = sets.groupBy("set_key").agg(F.min("id").alias("rep"))
-    # rows of one id may hold different sets, so a representative is known by both
-    banded = sets.join(reps.withColumnRenamed("rep", "id"), ["set_key", "id"], "left_semi").dropDuplicates(["set_key"]).select(F.col("id").alias("rep"), F.explode("bands").alias("h"))
+    # one row of each set, combined inside tasks first: copies never meet; rows of one id may hold different sets, so a set is known by its key
+    reps = cut(sets.groupBy("set_key").agg(F.min(F.struct("id", "bands")).alias("one")).select("set_key", F.col("one.id").alias("rep"), F.col("one.bands").alias("bands")))
+    banded = reps.select("rep", F.explode("bands").alias("h")).distinct()
     sizes = banded.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
     shared = cut(banded.join(sizes, "h"))
     weight = shared.groupBy("rep").agg(F.sum("size").alias("weight"))
@@ -163,25 +170,36 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     centre = centre.select("h", (-F.col("best.neg")).alias("centre"))
     members = cut(shared.join(centre, "h").select("centre", "rep").distinct())
 
-    # block against block: a row goes to every pair of blocks that its own is part of, the centre to all
-    blocks = members.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")).where("nb > 0")
-    dealt = members.join(blocks, "centre").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    of_row = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: F.struct(F.least(i, "own").alias("i"), F.greatest(i, "own").alias("j")))
-    of_centre = F.flatten(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: F.transform(F.sequence(i, F.col("nb") - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    dealt = dealt.select("centre", "rep", F.explode(F.when(F.col("rep") == F.col("centre"), of_centre).otherwise(of_row)).alias("pair"))
-    # the same plan at every size: a broadcast of small inputs would not hold for large ones
-    rows = dealt.join(texts.select(F.col("id").alias("rep"), "text").hint("merge"), "rep")
-
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("rep")
         rows = pd.concat([rows[rows["rep"] == key[0]], rows[rows["rep"] != key[0]].sort_values("rep")])
         ids = rows["rep"].to_numpy()
         found = spanning_links([shingle_set(t, words) for t in rows["text"]], percent)
-        return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"])
-
-    edges = rows.groupBy("centre", F.col("pair.i").alias("i"), F.col("pair.j").alias("j")).applyInPandas(lambda key, r: compare(key, r), "a long, b long")
+        return pd.DataFrame([(key[0], ids[i], ids[j]) for i, j in found], columns=["centre", "a", "b"])
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        # the same plan at every size: a broadcast of small inputs would not hold for large ones. Only texts that may be wanted are moved
+        rows = dealt.join(among(texts.select(F.col("id").alias("rep"), "text"), dealt, "rep").hint("merge"), "rep")
+        return rows.groupBy("centre", "i", "j").applyInPandas(lambda key, r: compare(key, r), "centre long, a long, b long")
+
+    # first each block with the centre: texts are sent once, the centre once a block
+    blocks = members.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    dealt = cut(members.join(blocks, "centre").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")))
+    every = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i")
+    first = dealt.where("rep <> centre").select("centre", "rep", F.col("own").alias("i")).unionByName(dealt.where("rep = centre").select("centre", "rep", every))
+    near = cut(compared(cut(first.withColumn("j", F.col("i")))))
+    # then, in clusters of several blocks, those that are not linked to the centre against the other blocks; a family of near copies has few
+    settled = components_within(near)
+    left = dealt.where("nb > 1 and rep <> centre").join(settled, ["centre", "rep"], "left_anti")
+    open_blocks = cut(left.select("centre", F.col("own").alias("o")).distinct())
+    against = left.select("centre", "rep", "own", "nb")
+    pair = lambda o, k: (F.least(o, k).alias("i"), F.greatest(o, k).alias("j"))
+    mine = against.select("centre", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("k")).where("k <> own").select("centre", "rep", *pair(F.col("own"), F.col("k")))
+    theirs = dealt.where("nb > 1 and rep <> centre").join(open_blocks, "centre").where("o <> own").select("centre", "rep", *pair(F.col("own"), F.col("o")))
+    far = compared(cut(mine.unionByName(theirs).distinct()))
+    edges = near.unionByName(far).select("a", "b")
     found = components(edges)
-    out = signed.join(reps, "set_key", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    out = signed.join(reps.select("set_key", "rep"), "set_key", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("id", "n_shingles", F.coalesce("component", "rep", "id").alias("component"))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tessera.llm.bpe import Codec
+from tessera.llm.bpe import SpacedCodec
 from tessera.llm.common import cut
 
 #: Tokens of a sequence, of the longest piece besides whole sequences, id that ends a document, pieces of a bin.
@@ -94,12 +94,12 @@ def read_tokenizer(path: str) -> tuple[dict[bytes, int], list[str]]:
 class _Ids:
     def __init__(self, path: str, pattern: str):
         ranks, self.special = read_tokenizer(path)
-        self.path, self.codec = path, Codec(ranks, pattern)
+        self.codec, self.library = SpacedCodec(ranks, pattern), Tokenizer.from_file(path) if self.special else None
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as the tokenizers library gives them; texts with the string of a special token go to that library itself."""
         if any(s in text for s in self.special):
-            return np.array(Tokenizer.from_file(self.path).encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.frombuffer(self.codec.encode(text), np.uint32)
 
 

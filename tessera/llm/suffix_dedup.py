@@ -27,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, partitions
+from tessera.llm.common import among, bitmap, cut, partitions
 
-#: Bytes of a gram at most (or half of the least length), bytes hashed at a time, passages sorted at a time, bits of a bitmap.
-GRAM, BATCH, TOGETHER, BITS = 200, 1 << 20, 8192, 1 << 26
+#: Bytes of a gram at most (or half of the least length), bytes hashed at a time, passages sorted at a time.
+GRAM, BATCH, TOGETHER = 200, 1 << 20, 8192
 
 _VALUES = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -114,22 +114,6 @@ def repeated_starts(passages: list[bytes], left: np.ndarray, group: np.ndarray,
     return out
 
 
-def bitmap(keys: DataFrame, key: str):
-    """The keys (long) as ``BITS`` bits, sent to all tasks, and a test for numbers: false only for those that are surely not among them."""
-    at = F.pmod(F.col(key), F.lit(BITS))
-    rows = keys.select(F.shiftright(at, 15).cast("int").alias("part"), at.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    bits = np.zeros(BITS // 8, np.uint8)
-    for r in rows:  # BITS / 32768 rows at most, of 4 KB
-        bits[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    shared = keys.sparkSession.sparkContext.broadcast(bits)
-
-    def test(x: np.ndarray) -> np.ndarray:
-        x = x % BITS
-        return (shared.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1
-
-    return test
-
-
 def spans_of(docs: DataFrame, key: str, text_col: str, lengths: list[int]) -> DataFrame:
     """``key, kind, start, end`` of stretches that are repeated for the length of number ``kind``, which may overlap; ``key`` (binary) tells different texts apart."""
     least, length = min(lengths), max(lengths)
@@ -206,17 +190,6 @@ def spans_of(docs: DataFrame, key: str, text_col: str, lengths: list[int]) -> Da
     return equal.union(unequal).withColumnRenamed("rid", key)
 
 
-def among(rows: DataFrame, keys: DataFrame, key: str, apart: bool = False) -> DataFrame:
-    """The rows whose binary key may be among the keys; ``apart``: the others instead."""
-    test = bitmap(keys.select(F.xxhash64(key).alias("h")), "h")
-
-    @F.pandas_udf("boolean")
-    def passes(h: pd.Series) -> pd.Series:
-        return pd.Series(test(h.to_numpy(np.int64)))
-
-    return rows.where(~passes(F.xxhash64(key)) if apart else passes(F.xxhash64(key)))
-
-
 def remove_spans(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int, int]:
     """What is left of the bytes, how many are gone, and in how many stretches."""
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)

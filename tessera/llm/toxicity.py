@@ -221,7 +221,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Train on a bounded sample of the labelled documents: ``most_docs`` of each class at most, in order of hashed id.
 
     ``labels`` holds the ids and labels to learn from; null ids and labels are left out, an id that is labelled twice
-    counts as 1 if it is once. One task trains; the sample's bound is its bound.
+    counts as 1 if it is once. One task trains; the sample's bound is its bound: labelled texts that are null or of more than ``most_chars`` characters are not learned
+    from (all texts are scored whole), equal texts count once, of rows that repeat an id one counts. Without rows or with one class only, every text
+    with words scores the share of label 1. Other columns are ignored.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
     sizes = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
@@ -240,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def scorer(model: Model):
-    """A Column function from text to score (0 to 1); null texts and texts without words score 0."""
+    """A Column function from text to score (0 to 1); null texts and texts without words score 0, equal texts alike, texts of any length by all their passages."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

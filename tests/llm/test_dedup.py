@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from oracle import assert_same, tables
-from tessera.llm import components, line_dedup, minhash, queries, suffix_dedup
+from tessera.llm import common, components, line_dedup, minhash, queries, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -112,6 +112,24 @@ def test_blocks_give_the_same_links(frame, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(texts, 3, 85).items()}
 
 
+def test_large_families_send_each_text_a_few_times(frame, monkeypatch):
+    """Near copies that link to their centre meet it once; only what does not is compared with other blocks."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(900)}" for _ in range(100)]
+    texts = []
+    for k in range(200):
+        copy = list(base)
+        copy[rng.randrange(100)] = f"x{k}"
+        texts.append(" ".join(copy))
+    monkeypatch.setattr(minhash, "BLOCK", 10)
+    sent = []
+    plain = minhash.among
+    monkeypatch.setattr(minhash, "among", lambda rows, keys, key: (sent.append(keys.count()), plain(rows, keys, key))[1])
+    got = minhash.components_of(frame(texts), words=3, percent=85)
+    assert {r["component"] for r in got.collect()} == {0}
+    assert len(sent) == 2 and sent[0] < 3 * 230 and sent[1] < 200  # 20 blocks: all against all would be 200 * 20
+
+
 def test_signature_is_circulant():
     shingles = minhash.shingle_set("a b c d e f g h i j", 3)
     ring = minhash._permute((shingles ^ (shingles >> np.uint64(32))).astype(np.uint32), 0x7FEB352D, 0x846CA68B)
@@ -176,10 +194,12 @@ def test_full_bitmaps_change_nothing(frame, monkeypatch):
     draw = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     passages = [draw(500) for _ in range(3)]
     texts = [draw(300) + rng.choice(passages) + draw(300) for _ in range(12)] + [draw(900) for _ in range(5)]
-    monkeypatch.setattr(suffix_dedup, "BITS", 1 << 15)
-    some = suffix_dedup.bitmap(frame(texts).selectExpr("doc_id * 7 - 20 as h"), "h")
+    monkeypatch.setattr(common, "BITS", 1 << 15)
+    some = common.bitmap(frame(texts).selectExpr("doc_id * 7 - 20 as h"), "h")
     assert some(np.arange(len(texts)) * 7 - 20).all() and some(np.arange(-1000, 1000)).sum() == len(texts)
-    monkeypatch.setattr(suffix_dedup, "bitmap", lambda keys, key: lambda x: np.ones(len(x), bool))
+    monkeypatch.setattr(common, "bitmap", lambda keys, key: lambda x: np.ones(len(x), bool))
+    monkeypatch.setattr(suffix_dedup, "bitmap", common.bitmap)
+    monkeypatch.setattr(suffix_dedup, "among", lambda rows, keys, key, apart=False: rows.where("false") if apart else rows)
     got = suffix_dedup.dedup_substrings(frame(texts)).orderBy("doc_id").collect()
     assert [bytes(r["dedup"]["kept"]) for r in got] == [b for *_, b in brute_passages(texts, 400)]
 

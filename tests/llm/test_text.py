@@ -1,6 +1,7 @@
 """Quality rules, BPE, fingerprints, language ID and packing."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -120,6 +121,7 @@ def test_rules_odd_rows(odd, none):
 # BPE
 
 _codec = bpe.codec(RANKS, tok.PATTERN)
+_spaced = bpe.SpacedCodec(bpe.read_ranks(RANKS), tok.PATTERN)
 _library = tiktoken.Encoding("own", pat_str=tok.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
 
 
@@ -128,14 +130,28 @@ _library = tiktoken.Encoding("own", pat_str=tok.PATTERN, mergeable_ranks=bpe.rea
 def test_bpe_matches_library(text):
     ids = np.frombuffer(_codec.encode(text), np.uint32).tolist()
     assert ids == _library.encode_ordinary(text) and _codec.decode(ids) == text.encode()
+    assert np.frombuffer(_spaced.encode(text), np.uint32).tolist() == ids
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["a", " ", "\n", "word", "'re", " x", "123", "!!", "  "]), min_size=20, max_size=200), st.integers(1, 40))
 def test_stitched_chunks_are_those_of_the_whole(parts, run):
     text = "".join(parts) + "z" * run * 5 + "".join(parts)
-    whole = [m.end() for m in _codec.found.finditer(text)]
-    assert bpe.stitch(_codec.found, text, 48, 12) == whole
+    whole = _codec.find(text)
+    assert bpe.stitch(_codec.find, text, 48, 12) == whole and bpe.stitch(_codec.find, text, 20, 6) == whole
+
+
+@pytest.mark.parametrize("text", ["a" * 9000, " " * 9000, "\n" * 5000 + "a", "1" * 7000 + " x" * 3000, ("word " * 500 + "!" * 5000) * 3, "x\n \n" * 3000])
+def test_runs_over_many_chunks(text):
+    assert bpe.stitch(_codec.find, text) == _codec.find(text)
+    assert np.frombuffer(_codec.encode(text), np.uint32).tolist() == _library.encode_ordinary(text)
+
+
+def test_another_pattern():
+    pattern = r"\w+|[^\w\s]|\s+"
+    find = bpe.Codec(bpe.read_ranks(RANKS), pattern).find
+    text = "".join(random.Random(4).choice(["ab", " ", "\n", ".", "é9"]) for _ in range(9000))
+    assert bpe.stitch(find, text) == find(text)
 
 
 def test_bpe_columns(odd, none):
@@ -182,6 +198,59 @@ def test_no_size_parts_near_copies(size):
     assert np.mean(alike[0]) > np.mean(alike[60]) - 0.1 and min(alike[0]) > 0.5
 
 
+def slow_sketch(data):
+    """The same parsing, a symbol at a time."""
+    mask, g = 2**64 - 1, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    def toss(own, before):
+        place = ((own ^ before) & -(own ^ before)).bit_length() - 1
+        return place * 2 + (own >> place & 1)
+
+    x, level, names = [mix(b + 1) for b in data], 0, set()
+    while x:
+        if level >= parsing.FIRST or len(x) == 1:
+            names |= {mix(s ^ 0xD6E8FEB86659FD93) >> 32 for s in x}
+        if len(x) == 1:
+            break
+        runs = [(s, len(list(same))) for s, same in itertools.groupby(x)]
+        x = [s if n == 1 else mix((s + n * g) & mask) for s, n in runs]
+        label = [toss(s, x[i - 1] if i else s ^ mask) for i, s in enumerate(x)]
+        for _ in range(parsing.TOSSES - 1):
+            label = [toss(s, label[i - 1] if i else s ^ 1) for i, s in enumerate(label)]
+        starts = [0] + [i for i in range(2, len(x) - 1) if label[i] > label[i - 1] and label[i] >= label[i + 1]]
+        x = [mix(sum(mix((s + (j + 1) * g) & mask) for j, s in enumerate(x[a:b])) & mask) for a, b in zip(starts, [*starts[1:], len(x)])]
+        level += 1
+    return sorted(names)[: parsing.SKETCH]
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.text(st.sampled_from("aab cdé"), max_size=300) | st.text(max_size=60))
+def test_sketch_matches_a_slow_parser(text):
+    data = text.encode("utf-8", "replace")
+    assert parsing.sketches([data])[0].tolist() == slow_sketch(data)
+
+
+def test_sketch_of_prose_matches_a_slow_parser(documents):
+    for text in [t for t in documents.text if 1000 < len(t) < 4000][:4]:
+        assert parsing.sketches([text.encode()])[0].tolist() == slow_sketch(text.encode())
+
+
+def test_likeness_has_no_step():
+    """A text is about as like its first 99 % at every length, on the mean of many texts; a step would show between neighbouring lengths."""
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(800)).encode() for _ in range(24)]
+    mean = []
+    for n in (64, 96, 120, 128, 136, 192, 256, 384, 512, 768, 1000, 1024, 1048, 1536, 2048, 3000, 4096):
+        whole, part = parsing.all_sketches([t[:n] for t in texts]), parsing.all_sketches([t[: n * 99 // 100] for t in texts])
+        mean.append(np.mean([parsing.likeness(a, b) for a, b in zip(whole, part)]))
+    assert min(mean) > 0.5 and np.abs(np.diff(mean)).max() < 0.2
+
+
 def test_neighbours(spark, documents):
     got = parsing.compare_neighbours(spark.read.parquet(f"{SF}/documents.parquet")).toPandas().set_index("id")
     docs = documents.sort_index(ascending=False)
@@ -222,6 +291,43 @@ def test_mixtures_are_found(frame):
     assert got[2]["language"]["languages"] == ["en", "es"] and got[2]["language"]["shares"][1] == pytest.approx(0.4, abs=0.05)
 
 
+def slow_mixture(words):
+    """Shares and the selected set of one document by plain expectation-maximisation."""
+    like = [[np.exp(float(x) - max(map(float, w))) for x in w] for w in words]
+    k, n = len(words[0]), len(words)
+
+    def em(shares, rounds):
+        for _ in range(rounds):
+            new = [0.0] * k
+            for row in like:
+                total = sum(x * s for x, s in zip(row, shares))
+                for j in range(k):
+                    new[j] += row[j] * shares[j] / total / n
+            shares = new
+        return shares, sum(np.log(sum(x * s for x, s in zip(row, shares))) for row in like)
+
+    shares, _ = em([1 / k] * k, language.ROUNDS)
+    order = sorted(range(k), key=lambda j: -shares[j])
+    chosen, best = {order[0]}, sum(np.log(row[order[0]]) for row in like)
+    for m in range(2, k + 1):
+        part = [shares[j] + 1e-6 if j in order[:m] else 0.0 for j in range(k)]
+        _, fit = em([p / sum(part) for p in part], 3)
+        if (gain := fit - (m - 1) * language.PENALTY * np.log(max(n, 2))) > best:
+            best, chosen = gain, set(order[:m])
+    return shares, chosen
+
+
+def test_mixtures_match_plain_arithmetic():
+    rng = np.random.default_rng(8)
+    sizes = np.array([1, 2, 7, 30, 60, 25])
+    sources = [rng.choice(3, n, p=p) for n, p in zip(sizes, ([1, 0, 0], [0.5, 0.5, 0], [0.3, 0.3, 0.4], [0.9, 0.1, 0], [0.6, 0, 0.4], [0, 1, 0]))]
+    words = np.concatenate([rng.normal(-12, 2, (len(s), 3)) + 9 * np.eye(3)[s] for s in sources]).astype(np.float32)
+    shares, chosen = language.mixtures(words, sizes)
+    for i, (a, n) in enumerate(zip(np.cumsum(sizes) - sizes, sizes)):
+        wanted, names = slow_mixture(words[a : a + n])
+        assert np.allclose(shares[i], wanted, atol=1e-3) and set(np.flatnonzero(chosen[i])) == names
+
+
 def test_language_odd_rows(odd, none):
     got = {r["doc_id"]: r["language"] for r in language.identify(odd, odd).collect()}
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (2, 3, 4, 7, 9)) and got[5]["lang_pred"] == "en"
