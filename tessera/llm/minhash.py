@@ -198,9 +198,11 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     theirs = dealt.where("nb > 1 and rep <> centre").join(open_blocks, "centre").where("o <> own").select("centre", "rep", *pair(F.col("own"), F.col("o")))
     far = compared(cut(mine.unionByName(theirs).distinct()))
     edges = near.unionByName(far).select("a", "b")
-    found = components(edges)
-    out = signed.join(reps.select("set_key", "rep"), "set_key", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select("id", "n_shingles", F.coalesce("component", "rep", "id").alias("component"))
+    found = components(edges).withColumnRenamed("id", "rep")
+    # one row a set, written: copies meet their set's row only, in a join whose hot keys can be split
+    named = cut(reps.select("set_key", "rep").join(found, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component")))
+    out = signed.join(named.hint("merge"), "set_key", "left")
+    return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
