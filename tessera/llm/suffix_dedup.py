@@ -138,7 +138,8 @@ def spans_of(docs: DataFrame, key: str, text_col: str, lengths: list[int]) -> Da
                 passing = shared(found.view(np.int64))
                 at, found = at[passing], found[passing]
                 left, right = np.minimum(at, reach), np.minimum(len(data) - at, length)
-                digests = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip((at - left).tolist(), (at + right).tolist())]
+                # the place of the anchor counts too: in a short text two anchors may have the whole text around them
+                digests = [xxhash.xxh3_64_intdigest(data[a:b], n) for a, b, n in zip((at - left).tolist(), (at + right).tolist(), left.tolist())]
                 for column, values in zip(out, ([rid] * len(at), found.view(np.int64), np.array(digests, np.uint64).view(np.int64), at, left, right)):
                     column.append(values)
             rids = pa.array([r for part in out[0] for r in part], pa.binary())

@@ -189,6 +189,14 @@ def test_passages_match_brute_force(frame, length):
     assert [(r["dedup"]["n_bytes"], r["dedup"]["n_removed"], r["dedup"]["n_spans"], bytes(r["dedup"]["kept"])) for r in got] == wanted
 
 
+def test_a_gram_twice_in_a_short_text_is_no_repeat(frame):
+    rng = random.Random(12)
+    gram = "".join(rng.choice("abcdefgh ") for _ in range(120))
+    texts = [gram + "x" + gram + "yz", "q" + gram * 2, gram]
+    got = suffix_dedup.dedup_substrings(frame(texts), also=200).orderBy("doc_id").collect()
+    assert [(r["dedup"]["n_removed"], r["dedup"]["n_also"]) for r in got] == [(a[1], b[1]) for a, b in zip(brute_passages(texts, 400), brute_passages(texts, 200))]
+
+
 def test_full_bitmaps_change_nothing(frame, monkeypatch):
     rng = random.Random(9)
     draw = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
