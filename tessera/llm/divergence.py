@@ -5,8 +5,9 @@ Jensen-Shannon distance, and the nearest language counts. A document that is far
 give noisy histograms: below a least length a histogram is not judged.
 
 The references come from all documents with a language: one aggregate of class counts, and one of words, each combined inside
-tasks before it is shuffled. Their size is bounded by parameters, so they are sent as literals, and judging is a map
-over rows with neither shuffle nor join.
+tasks before it is shuffled. They hold ``COMMON`` words a language and are sent as literals, and judging is a map
+over rows with neither shuffle nor join. The plan has the same size for any number of languages, and a document's words are
+compared with those languages only that have one of them: of all others, the one whose common words are rarest is nearest.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import SPACE_CHARS, SPACE_CLASS, let
 
-#: Words of a language's reference; slots that words are hashed to; least share of all words that makes a language a reference (so there are 1000 at most).
-COMMON, SLOTS, LEAST_SHARE = 64, 1 << 13, 0.001
+#: Words of a language's reference; least number of slots for words; a language with this share of all words, or so many words, has a reference.
+COMMON, SLOTS, LEAST_SHARE, ENOUGH_WORDS = 64, 1 << 13, 0.001, 100_000
 #: Least words and characters to be judged, largest distances of documents that stay.
 LEAST_WORDS, LEAST_CHARS, MOST_WORDS_JS, MOST_CHARS_JS = 60, 200, 0.53, 0.27
 #: Least part of the common words that the language with the fewest would have in a text, and standard deviations allowed for noise.
@@ -55,40 +56,72 @@ def with_classes(docs: DataFrame) -> DataFrame:
     return out.withColumn("_c_rest", F.col("_word_chars") - sum(F.col(f"_c_{k}") for k in CLASSES))
 
 
-def slot(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
-
-
 @dataclass(frozen=True)
 class References:
-    """By language: shares of the character classes; and of the words in each slot, with the words that own the slots."""
+    """By language: shares of the character classes; and of the words in each slot, with the words that own the slots and their hashes.
+
+    A word's slot is its hash, shifted by the number of bits that ``shifts`` holds for the hash's lowest bits; no two words share a slot.
+    """
 
     classes: dict[str, list[float]]
     words: dict[str, dict[int, float]]
     owners: dict[int, str]
+    hashes: dict[int, int]
+    shifts: list[int]
+
+
+def place(hashes: dict[str, int]) -> tuple[dict[str, int], list[int]]:
+    """A slot for every word, none for two, and the shifts that lead to them; the number of slots is that of the shifts, a power of two."""
+    size = SLOTS
+    while size < 4 * len(hashes):
+        size *= 2
+    while True:
+        shifts, slots, taken = [0] * size, {}, set()
+        groups: dict[int, list[str]] = {}
+        for word, h in hashes.items():
+            groups.setdefault(h & (size - 1), []).append(word)
+        for low, group in sorted(groups.items(), key=lambda g: (-len(g[1]), g[0])):
+            for shift in range(64):
+                own = [((hashes[w] & (2**64 - 1)) >> shift) & (size - 1) for w in group]
+                if len(set(own)) == len(own) and taken.isdisjoint(own):
+                    break
+            else:
+                break
+            shifts[low] = shift
+            taken.update(own)
+            slots.update(zip(group, own))
+        if len(slots) == len(hashes):
+            return slots, shifts
+        size *= 2
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> References:
-    """Histograms of every language that holds at least ``LEAST_SHARE`` of all words, from all rows with a language."""
+    """Histograms from all rows with a language, of every language that holds at least ``LEAST_SHARE`` of all words or ``ENOUGH_WORDS`` of them.
+
+    A language keeps its reference as the corpus grows. The driver holds one row and ``COMMON`` words for each of them.
+    """
     rows = with_words(docs.select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_in")).where("_lang is not null"), "_in")
     sums = with_classes(rows).groupBy("_lang").agg(F.sum("_n").alias("n"), *(F.sum(f"_c_{k}").alias(k) for k in _HISTOGRAM))
     total = Window.partitionBy(F.lit(0))
-    sums = sums.withColumn("all", F.sum("n").over(total)).where(F.col("n") >= LEAST_SHARE * F.col("all")).where("n > 0")
-    found = {r["_lang"]: r for r in sums.collect()}  # 1 / LEAST_SHARE rows at most
+    sums = sums.withColumn("all", F.sum("n").over(total)).where((F.col("n") >= LEAST_SHARE * F.col("all")) | (F.col("n") >= ENOUGH_WORDS)).where("n > 0")
+    found = {r["_lang"]: r for r in sorted(sums.collect(), key=lambda r: r["_lang"])}
     if not found:
-        return References({}, {}, {})
+        return References({}, {}, {}, {}, [])
     counts = rows.where(F.col("_lang").isin(list(found))).select("_lang", F.explode("_words").alias("_w")).groupBy("_lang", F.col("_w").alias("word")).agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "word"))
-    top = counts.withColumn("place", place).where(F.col("place") <= COMMON).select("_lang", "word", "n", slot(F.col("word")).alias("slot")).collect()  # COMMON rows a language
-    owners: dict[int, str] = {}
-    for r in sorted(top, key=lambda r: (-r["n"], r["word"])):
-        owners.setdefault(r["slot"], r["word"])  # a slot has one word, the most frequent; others count as not common
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "word"))
+    top = counts.withColumn("rank", rank).where(F.col("rank") <= COMMON).select("_lang", "word", "n", F.xxhash64("word").alias("hash")).collect()  # COMMON rows a language
+    hashes = {r["word"]: r["hash"] for r in sorted(top, key=lambda r: r["word"])}
+    slots, shifts = place(hashes)
     words: dict[str, dict[int, float]] = {lang: {} for lang in found}
     for r in top:
-        if owners[r["slot"]] == r["word"]:
-            words[r["_lang"]][r["slot"]] = r["n"] / found[r["_lang"]]["n"]
+        words[r["_lang"]][slots[r["word"]]] = r["n"] / found[r["_lang"]]["n"]
     classes = {lang: [r[k] / max(1, sum(r[k] for k in _HISTOGRAM)) for k in _HISTOGRAM] for lang, r in found.items()}
-    return References(classes, words, owners)
+    return References(classes, words, {s: w for w, s in slots.items()}, {s: hashes[w] for w, s in slots.items()}, shifts)
+
+
+def _literal(values: list, kind: str) -> Column:
+    """Numbers as one literal array: the split is folded when the query is planned."""
+    return F.split(F.lit(" ".join(map(repr, values))), " ").cast(f"array<{kind}>")
 
 
 def _term(p: Column, q: Column | float) -> Column:
@@ -104,23 +137,48 @@ def _distance(divergence: Column) -> Column:
 
 def class_distance(refs: References) -> Column:
     """Distance of the class counts to the nearest language; null without references or characters."""
-    shares = [F.col(f"_c_{k}") / F.greatest("_chars", F.lit(1)) for k in _HISTOGRAM]
-    found = [_distance(sum((_term(p, q) for p, q in zip(shares, own)), F.lit(0.0))) for own in refs.classes.values()]
-    return F.when(F.col("_chars") > 0, F.array_min(F.array(*found))) if found else F.lit(None).cast("double")
+    if not refs.classes:
+        return F.lit(None).cast("double")
+    shares = F.array(*(F.col(f"_c_{k}") / F.greatest("_chars", F.lit(1)) for k in _HISTOGRAM))
+    own = [_literal([c[i] for c in refs.classes.values()], "double") for i in range(len(_HISTOGRAM))]
+    to = lambda p, j: sum((_term(p[i], F.get(q, j)) for i, q in enumerate(own)), F.lit(0.0))
+    least = let(shares, lambda p: F.array_min(F.transform(F.sequence(F.lit(0), F.lit(len(refs.classes) - 1)), lambda j: to(p, j))))
+    return F.when(F.col("_chars") > 0, _distance(least))
 
 
 def word_distance(refs: References) -> Column:
-    """Distance of the common-word histogram ``_runs`` (slot, times) to the nearest language; null without references or words."""
-    found = []
-    other = 1 - F.aggregate("_runs", F.lit(0), lambda a, r: a + r["times"]) / F.greatest("_n", F.lit(1))
-    for own in refs.words.values():
-        q = F.split(F.lit(" ".join(repr(own.get(i, 0.0)) for i in range(SLOTS))), " ").cast("array<double>")  # folded to one literal
-        rest = max(0.0, 1 - sum(own.values()))
-        # words that a document lacks add half their share; runs put the right term in its place
-        start = sum(own.values()) / 2
-        body = F.aggregate("_runs", F.lit(float(start)), lambda a, r: a + let(F.get(q, r["slot"]), lambda x: _term(r["times"] / F.col("_n"), x) - x / 2))
-        found.append(_distance(body + _term(F.greatest(other, F.lit(0.0)), rest)))
-    return F.when(F.col("_n") > 0, F.array_min(F.array(*found))) if found else F.lit(None).cast("double")
+    """Distance of the common-word histogram ``_runs`` (slot, times) to the nearest language; null without references or words.
+
+    What a text and a language have in common lies at ``begin[slot]`` to ``begin[slot + 1]`` of the lists of languages and shares.
+    """
+    if not refs.words:
+        return F.lit(None).cast("double")
+    held: dict[int, list[tuple[int, float]]] = {}
+    for i, own in enumerate(refs.words.values()):
+        for s, q in own.items():
+            held.setdefault(s, []).append((i, q))
+    begin, entries = [0], []
+    for s in range(len(refs.shifts)):
+        entries += held.get(s, [])
+        begin.append(len(entries))
+    covers = [sum(own.values()) for own in refs.words.values()]
+    rarest = covers.index(min(covers))
+    at, langs, shares, cover = _literal(begin, "int"), _literal([i for i, _ in entries], "int"), _literal([q for _, q in entries], "double"), _literal(covers, "double")
+    part = F.col("_n").cast("double")
+
+    def shared(r: Column) -> Column:
+        # a word that only one side has adds half its share, which is counted below; here is what a word of both takes off
+        less = lambda k: let(F.get(shares, k), lambda q: _term(r["times"] / part, q) - q / 2 - r["times"] / part / 2)
+        return F.transform(F.sequence(F.get(at, r["slot"]), F.get(at, r["slot"] + 1) - 1), lambda k: F.struct(F.get(langs, k).alias("lang"), less(k).alias("less")))
+
+    def nearest(both: Column) -> Column:
+        candidates = F.array_union(F.transform(both, lambda b: b["lang"]), F.array(F.lit(rarest)))
+        off = lambda j: F.aggregate(both, F.lit(0.0), lambda a, b: a + F.when(b["lang"] == j, b["less"]).otherwise(0.0))
+        return F.array_min(F.transform(candidates, lambda j: let(F.get(cover, j), lambda c: c / 2 + _term(other, F.greatest(1 - c, F.lit(0.0)))) + off(j)))
+
+    hits = F.col("_hits") / F.greatest("_n", F.lit(1))
+    other = F.greatest(1 - hits, F.lit(0.0))
+    return F.when(F.col("_n") > 0, _distance(hits / 2 + let(F.flatten(F.transform("_runs", shared)), nearest)))
 
 
 def lacks_common_words(refs: References) -> Column:
@@ -130,20 +188,27 @@ def lacks_common_words(refs: References) -> Column:
     """
     if not refs.words:
         return F.lit(False)
-    hits = F.aggregate("_runs", F.lit(0), lambda a, r: a + r["times"])
     least = min(sum(own.values()) for own in refs.words.values())
-    return let(hits, lambda h: h + NOISE * F.sqrt(h + 1) < F.lit(LEAST_COMMON * least) * F.col("_n"))
+    return F.col("_hits") + NOISE * F.sqrt(F.col("_hits") + 1) < F.lit(LEAST_COMMON * least) * F.col("_n")
+
+
+def with_hashes(docs: DataFrame) -> DataFrame:
+    """``_hashes`` of ``_words``, 64 bits each."""
+    return docs.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
 
 
 def with_runs(docs: DataFrame, refs: References) -> DataFrame:
-    """``_runs``: (slot, times) of the common words of ``_words``."""
+    """``_runs``: (slot, times) of the common words, known by ``_hashes``; ``_hits``: how many words they are."""
     if not refs.owners:
-        return docs.withColumn("_runs", F.array().cast("array<struct<slot:int,times:int>>"))
-    owners = F.split(F.lit(" ".join(refs.owners.get(i, "") for i in range(SLOTS))), " ")
-    hits = F.filter("_words", lambda w: F.get(owners, slot(w)) == w)
+        return docs.withColumn("_runs", F.array().cast("array<struct<slot:int,times:int>>")).withColumn("_hits", F.lit(0))
+    size = len(refs.shifts)
+    low = F.lit(size - 1).cast("long")
+    shifts, hashes = _literal(refs.shifts, "int"), _literal([refs.hashes.get(i, 0) for i in range(size)], "bigint")
+    slot = lambda h: F.call_function("shiftrightunsigned", h, F.get(shifts, h.bitwiseAND(low).cast("int"))).bitwiseAND(low).cast("int")
+    hits = F.filter(F.transform("_hashes", lambda h: let(slot(h), lambda s: F.when(F.get(hashes, s) == h, s))), lambda s: s.isNotNull())
     ends = lambda s: F.filter(F.transform(s, lambda x, i: F.when(x.eqNullSafe(F.get(s, i + 1)), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
     runs = lambda s: let(ends(s), lambda e: F.transform(e, lambda x, i: F.struct(F.get(s, x).alias("slot"), (x - F.when(i > 0, F.get(e, i - 1)).otherwise(-1)).alias("times"))))
-    return docs.withColumn("_slots", F.sort_array(F.transform(hits, slot))).withColumn("_runs", let(F.col("_slots"), runs)).drop("_slots")
+    return docs.withColumn("_slots", F.sort_array(hits)).withColumn("_runs", let(F.col("_slots"), runs)).withColumn("_hits", F.size("_slots")).drop("_slots")
 
 
 def with_repeats(docs: DataFrame, width: int = 8) -> DataFrame:
@@ -152,7 +217,7 @@ def with_repeats(docs: DataFrame, width: int = 8) -> DataFrame:
     Windows are known by 64-bit hashes, made by doubling: 2, 4, then 8 words. Only texts with a repeat sort their windows.
     """
     assert width == 8, "windows are doubled thrice"
-    out = docs.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
+    out = docs.withColumn("_h", F.col("_hashes"))
     for step in (1, 2, 4):
         out = out.withColumn("_h", F.zip_with("_h", F.slice("_h", step + 1, F.greatest("_n", F.lit(1))), lambda a, b: F.xxhash64(a, b)))
     out = out.withColumn("_h", F.slice("_h", 1, F.greatest(F.col("_n") - (width - 1), F.lit(0))))
@@ -174,7 +239,7 @@ def judge(docs: DataFrame, refs: References, text_col: str = "text", lang_col: s
     far. Rows that repeat are judged each. Input columns named like an output are replaced.
     """
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text_col).alias("_in"))  # no name of the input can clash with those used here
-    out = with_repeats(with_runs(with_classes(with_words(row, "_in")), refs))
+    out = with_repeats(with_runs(with_hashes(with_classes(with_words(row, "_in"))), refs))
     lines = F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
     out = out.withColumn("_lines", lines)
     out = out.withColumns({

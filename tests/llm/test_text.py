@@ -79,6 +79,36 @@ def test_distances_match_numpy(frame):
         assert r["class_js"] == pytest.approx(jensen_shannon(q, np.array(refs.classes["en"])), abs=1e-6)
 
 
+def test_every_common_word_of_many_languages(spark):
+    """Eighty languages that share words: no word is lost, and the nearest of all is found by brute force."""
+    rng = random.Random(2)
+    pool = [f"w{i}" for i in range(4000)]
+    own = {f"l{k:02}": rng.sample(pool, divergence.COMMON) for k in range(80)}
+    prose = lambda lang, n: " ".join(rng.choice(own[lang]) if rng.random() < 0.4 else rng.choice("bcdfg") * rng.randint(9, 60) + str(rng.random()) for _ in range(n))
+    train = [(i, " ".join(own[lang] * 3) + " " + prose(lang, 300), lang) for i, lang in enumerate(own)]
+    refs = divergence.references(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    assert all({refs.owners[s] for s in refs.words[lang]} == set(own[lang]) for lang in own)
+    names = list(own)
+    texts = [prose(names[i], 70) + " " + prose(names[-i - 1], 30) for i in range(25)] + [" ".join(f"none{i}" for i in range(80)), "w1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in divergence.judge(docs, refs).collect():
+        words = texts[r["doc_id"]].split()
+        counts = {s: words.count(w) / len(words) for s, w in refs.owners.items()}
+        p = np.array([*counts.values(), 1 - sum(counts.values())])
+        q = [np.array([*(refs.words[lang].get(s, 0.0) for s in counts), 1 - sum(refs.words[lang].values())]) for lang in own]
+        assert r["word_js"] == pytest.approx(min(jensen_shannon(p, x) for x in q), abs=1e-6)
+
+
+def test_slots_are_apart():
+    rng = random.Random(4)
+    for n in (0, 1, 300, 9000):
+        hashes = {f"w{i}": rng.getrandbits(64) - 2**63 for i in range(n)}
+        slots, shifts = divergence.place(hashes)
+        size = len(shifts)
+        assert len(set(slots.values())) == len(slots) == n and size & (size - 1) == 0
+        assert all(slots[w] == ((h & (2**64 - 1)) >> shifts[h & (size - 1)]) & (size - 1) for w, h in hashes.items())
+
+
 def test_junk_goes_and_prose_stays(spark, documents):
     kept = {r["doc_id"]: r for r in queries.op1_divergence(spark, SF).collect()}
     junk = [i for i, t in documents.text.items() if len(re.findall("[#*$%&]{3}", t)) > 0.02 * len(t)]
