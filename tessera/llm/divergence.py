@@ -205,7 +205,7 @@ def with_runs(docs: DataFrame, refs: References) -> DataFrame:
     low = F.lit(size - 1).cast("long")
     shifts, hashes = _literal(refs.shifts, "int"), _literal([refs.hashes.get(i, 0) for i in range(size)], "bigint")
     slot = lambda h: F.call_function("shiftrightunsigned", h, F.get(shifts, h.bitwiseAND(low).cast("int"))).bitwiseAND(low).cast("int")
-    hits = F.filter(F.transform("_hashes", lambda h: let(slot(h), lambda s: F.when(F.get(hashes, s) == h, s))), lambda s: s.isNotNull())
+    hits = F.transform(F.filter("_hashes", lambda h: F.get(hashes, slot(h)) == h), slot)
     ends = lambda s: F.filter(F.transform(s, lambda x, i: F.when(x.eqNullSafe(F.get(s, i + 1)), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
     runs = lambda s: let(ends(s), lambda e: F.transform(e, lambda x, i: F.struct(F.get(s, x).alias("slot"), (x - F.when(i > 0, F.get(e, i - 1)).otherwise(-1)).alias("times"))))
     return docs.withColumn("_slots", F.sort_array(hits)).withColumn("_runs", let(F.col("_slots"), runs)).withColumn("_hits", F.size("_slots")).drop("_slots")
