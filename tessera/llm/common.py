@@ -57,12 +57,13 @@ def bitmap(keys: DataFrame, key: str):
     return test
 
 
-def among(rows: DataFrame, keys: DataFrame, key: str, apart: bool = False) -> DataFrame:
-    """The rows whose key may be among the keys; ``apart``: the others instead. If the bitmap fills up, more rows may be."""
+def among(rows: DataFrame, keys: DataFrame, key: str, apart: bool = False, of: str | None = None) -> DataFrame:
+    """The rows whose key, ``of`` if it is named otherwise there, may be among the keys; ``apart``: the others instead. If the bitmap fills up, more rows may be."""
     test = bitmap(keys.select(F.xxhash64(key).alias("h")), "h")
 
     @F.pandas_udf("boolean")
     def passes(h: pd.Series) -> pd.Series:
         return pd.Series(test(h.to_numpy(np.int64)))
 
-    return rows.where(~passes(F.xxhash64(key)) if apart else passes(F.xxhash64(key)))
+    passing = passes(F.xxhash64(of or key))
+    return rows.where(~passing if apart else passing)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, divergence, language, line_dedup, minhash, mixing, packing, parsing, suffix_dedup, toxicity
+from tessera.llm import bpe, divergence, exact, language, line_dedup, minhash, mixing, packing, parsing, suffix_dedup, toxicity
 from tessera.llm.common import documents, remainder
 
 
@@ -69,8 +69,13 @@ def op10_language_id(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "held_out", "language.lang_pred", "language.score", "language.languages", "language.shares")
 
 
+def op11_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return exact.groups_of(documents(spark, d).select("doc_id", "text")).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_divergence": op1_divergence, "op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_parsing": op5_parsing, "op6_line_dedup": op6_line_dedup, "op7_toxicity": op7_toxicity, "op8_suffix_dedup": op8_suffix_dedup, "op9_packing": op9_packing, "op10_language_id": op10_language_id,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -144,4 +149,11 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
             sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
         from f group by doc_id""",
+    "op11_exact_dedup": """
+        with t as materialized (
+            select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+        ), g as (
+            select t, max(doc_id) as keep_id, count(*) as group_size from t group by t
+        )
+        select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t.t) as text_sha256 from t join g on t.t = g.t""",
 }
