@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, divergence, exact, language, line_dedup, minhash, mixing, packing, parsing, suffix_dedup, toxicity
+from tessera.llm import bpe, divergence, exact, language, line_dedup, minhash, mixing, packing, parsing, search, suffix_dedup, toxicity
 from tessera.llm.common import documents, remainder
 
 
@@ -73,9 +73,13 @@ def op11_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact.groups_of(documents(spark, d).select("doc_id", "text")).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op12_search(spark: SparkSession, d: str) -> DataFrame:
+    return search.search(search.build(documents(spark, d)), spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_divergence": op1_divergence, "op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_parsing": op5_parsing, "op6_line_dedup": op6_line_dedup, "op7_toxicity": op7_toxicity, "op8_suffix_dedup": op8_suffix_dedup, "op9_packing": op9_packing, "op10_language_id": op10_language_id,
-    "op11_exact_dedup": op11_exact_dedup,
+    "op11_exact_dedup": op11_exact_dedup, "op12_search": op12_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -156,4 +160,28 @@ ORACLE_SQL: dict[str, str] = {
             select t, max(doc_id) as keep_id, count(*) as group_size from t group by t
         )
         select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t.t) as text_sha256 from t join g on t.t = g.t""",
+    "op12_search": r"""
+        with t as materialized (
+            select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents
+        ), p as materialized (
+            select doc_id, term, count(*) as tf from t group by doc_id, term
+        ), n as (
+            select doc_id, sum(tf)::bigint as n from p group by doc_id
+        ), a as (
+            select count(*) as docs, sum(n)::bigint as terms from n
+        ), d as (
+            select term, count(*) as df from p group by term
+        ), w as (
+            select term, floor(1000 * ln((2.0::double * a.docs + 2) / (2 * d.df + 1)))::bigint as w from d, a
+        ), m as (
+            select doc_id, 100 - 50 + (50 * n.n * a.docs) // a.terms as m from n, a
+        ), q as (
+            select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark
+        ), s as (
+            select q.item_id, p.doc_id, sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * m.m)))::bigint as score
+            from q join p on p.term = q.term join w on w.term = q.term join m on m.doc_id = p.doc_id group by q.item_id, p.doc_id
+        ), r as (
+            select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::integer as rank, doc_id, score from s where score > 0
+        )
+        select item_id, rank, doc_id, score from r where rank <= 50""",
 }
