@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, divergence, exact, language, line_dedup, minhash, mixing, packing, parsing, search, suffix_dedup, toxicity
+from tessera.llm import bpe, divergence, exact, language, line_dedup, manifest, minhash, mixing, packing, parsing, search, suffix_dedup, toxicity
 from tessera.llm.common import documents, remainder
 
 
@@ -77,9 +77,14 @@ def op12_search(spark: SparkSession, d: str) -> DataFrame:
     return search.search(search.build(documents(spark, d)), spark.read.parquet(f"{d}/benchmark.parquet"))
 
 
+def op13_manifest(spark: SparkSession, d: str) -> DataFrame:
+    tampered = {"text": F.when(remainder("doc_id", 2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+    return manifest.manifest(documents(spark, d), tampered=tampered).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_divergence": op1_divergence, "op2_mixing": op2_mixing, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_parsing": op5_parsing, "op6_line_dedup": op6_line_dedup, "op7_toxicity": op7_toxicity, "op8_suffix_dedup": op8_suffix_dedup, "op9_packing": op9_packing, "op10_language_id": op10_language_id,
-    "op11_exact_dedup": op11_exact_dedup, "op12_search": op12_search,
+    "op11_exact_dedup": op11_exact_dedup, "op12_search": op12_search, "op13_manifest": op13_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
