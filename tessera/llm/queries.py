@@ -189,4 +189,47 @@ ORACLE_SQL: dict[str, str] = {
             select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::integer as rank, doc_id, score from s where score > 0
         )
         select item_id, rank, doc_id, score from r where rank <= 50""",
+    # crc32 is spelled out, eight steps a byte
+    "op13_manifest": """
+        with recursive d as materialized (
+            select doc_id, source,
+                case when doc_id is null then '-' else octet_length(encode(doc_id::varchar)) || ':' || doc_id end
+                || case when source is null then '-' else octet_length(encode(source)) || ':' || source end
+                || case when lang is null then '-' else octet_length(encode(lang)) || ':' || lang end
+                || case when n_chars is null then '-' else octet_length(encode(n_chars::varchar)) || ':' || n_chars end as head,
+                text, replace(text, chr(10), '') as bare
+            from documents
+        ), l as materialized (
+            select doc_id, xor(4294967295::bigint, list_reduce([4294967295::bigint] || flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, (a & 1) * 3988292384) end)) % 2 as odd, coalesce('1' || hex(encode(source)), '0') as s,
+                sha256(head || case when text is null then '-' else octet_length(encode(text)) || ':' || text end) as leaf,
+                sha256(head || case when text is null then '-' else octet_length(encode(bare)) || ':' || bare end) as bare
+            from d
+        ), r as materialized (
+            select *, row_number() over (partition by s order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by s) as n from l
+        ), up as (
+            select s, 0 as level, i, n, leaf as node from r
+            union all
+            select s, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(node, '' order by i)) from up where n > 1 group by s, level, i // 3, n
+        ), tops as materialized (
+            select s, node as subroot, row_number() over (order by s) - 1 as i, count(*) over () as n from up where n = 1
+        ), over_ as (
+            select 0 as level, i, n, subroot as node from tops
+            union all
+            select level + 1, i // 3, (n + 2) // 3, sha256(string_agg(node, '' order by i)) from over_ where n > 1 group by level, i // 3, n
+        ), a as materialized (
+            select s, level, i, n, coalesce(string_agg(node, '') over (w rows between unbounded preceding and 1 preceding), '') as lo, coalesce(string_agg(node, '') over (w rows between 1 following and unbounded following), '') as hi
+            from up window w as (partition by s, level, i // 3 order by i)
+        ), b as materialized (
+            select level, i, n, node, coalesce(string_agg(node, '') over (w rows between unbounded preceding and 1 preceding), '') as lo, coalesce(string_agg(node, '') over (w rows between 1 following and unbounded following), '') as hi
+            from over_ window w as (partition by level, i // 3 order by i)
+        ), f as (
+            select doc_id, s, 0 as level, i, n, leaf, case when odd = 0 then bare else leaf end as node, '' as proof from r
+            union all
+            select f.doc_id, f.s, f.level + 1, f.i // 3, (f.n + 2) // 3, f.leaf, sha256(a.lo || f.node || a.hi), f.proof || a.lo || a.hi from f join a on a.s = f.s and a.level = f.level and a.i = f.i where f.n > 1
+        ), g as (
+            select f.doc_id, f.leaf, t.subroot, 0 as level, t.i, t.n, f.node, f.proof from f join tops t on t.s = f.s where f.n = 1
+            union all
+            select g.doc_id, g.leaf, g.subroot, g.level + 1, g.i // 3, (g.n + 2) // 3, sha256(b.lo || g.node || b.hi), g.proof || b.lo || b.hi from g join b on b.level = g.level and b.i = g.i where g.n > 1
+        )
+        select g.doc_id, g.leaf, g.subroot, o.node as root, sha256(g.proof) as proof_sha256, g.node as folded_root, g.node = o.node as verified from g, over_ o where g.n = 1 and o.n = 1""",
 }

@@ -7,6 +7,7 @@ from hashlib import sha256
 import pytest
 from pyspark.sql import functions as F
 
+from oracle import assert_same, tables
 from tessera.llm import manifest, queries
 
 SF = "/root/testdata/sf0.001"
@@ -69,6 +70,10 @@ def made(df):
     return rows_of(manifest.manifest(df, tampered=tampered()))
 
 
+def test_query_matches_sql(spark):
+    assert_same(queries.QUERIES["op13_manifest"](spark, SF).toPandas(), tables(SF).sql(queries.ORACLE_SQL["op13_manifest"]).df())
+
+
 def test_query_matches_brute_force(spark):
     got = queries.QUERIES["op13_manifest"](spark, SF)
     rows = [tuple(r[c] for c in COLUMNS) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
