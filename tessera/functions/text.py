@@ -27,15 +27,38 @@ def search_text(*parts: str | Column, suffix: str | None = None) -> Column:
     return F.concat_ws(" ", *present(*parts), *([F.lit(suffix)] if suffix else []))
 
 
+def _column(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
 def url_host(url: str | Column) -> Column:
     """Host of a URL; null when there is none or the URL is malformed."""
-    return F.try_parse_url(F.col(url) if isinstance(url, str) else url, F.lit("HOST"))
+    return F.try_parse_url(_column(url), F.lit("HOST"))
+
+
+def url_path(url: str | Column) -> Column:
+    """Path of a URL as it is written, empty for a bare host; null for what is not a URL with a scheme (of any case) and a host, malformed ones too."""
+    return F.when(url_host(url).isNotNull() & F.try_parse_url(_column(url), F.lit("PROTOCOL")).isNotNull(), F.try_parse_url(_column(url), F.lit("PATH")))
 
 
 def url_leaf(url: str | Column) -> Column:
-    """Last segment of a URL's path, empty for a directory URL or a bare host."""
-    url = F.col(url) if isinstance(url, str) else url
-    return F.regexp_extract(F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^?#]*)", 1), r"([^/]*)$", 1)
+    """Last segment of a URL's path, empty for a directory URL or a bare host; null for what is not a URL."""
+    return F.element_at(F.split(url_path(url), "/"), -1)
+
+
+def url_is_directory(url: str | Column) -> Column:
+    """Whether a URL's path ends in ``/`` and so names no file; false for a bare host, null for what is not a URL."""
+    return F.endswith(url_path(url), F.lit("/"))
+
+
+def words(text: str | Column) -> Column:
+    """Runs of letters, lower-cased, in order; null for a null."""
+    return F.regexp_extract_all(F.lower(_column(text)), F.lit(r"\p{L}+"), F.lit(0))
+
+
+def url_words(url: str | Column) -> Column:
+    """The words of a URL's host and path, in order; null for what is not a URL."""
+    return words(F.concat(url_host(url), F.lit("/"), url_path(url)))
 
 
 def iso_stamp(ts: str | Column) -> Column:

@@ -1 +1,6 @@
 """Registered queries and their SQL."""
+
+from tessera.plans import discovery, reference
+
+QUERIES = reference.QUERIES | discovery.QUERIES
+ORACLE_SQL = reference.ORACLE_SQL | discovery.ORACLE_SQL
