@@ -25,10 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # minima are written, one row an id: so the join's sides are plain exchanges and the edges of a hub are split over tasks
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))).hint("merge")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = large.where("a <> b").distinct()
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        edges = cut(large.where("a <> b").distinct())
+        least = cut(edges.groupBy("a").agg(F.min("b").alias("m"))).hint("merge")
         small = edges.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = cut(small.where("a <> b").distinct())
         last, state = state, _state(edges)

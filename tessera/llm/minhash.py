@@ -7,9 +7,13 @@ coordinates are hashed into buckets.
 Buckets are not turned into pairs. Documents with equal sets share one representative. Each bucket names as its centre the member
 that sits in the largest buckets, so the buckets of a family of copies agree on a centre, and a document belongs to
 the cluster of every centre that its buckets name: any two documents of one bucket are in one cluster. Each cluster
-gets its texts once and is compared on full sets, first with its centre, then whatever that left apart with all others. A cluster
-of more than ``BLOCK`` documents is dealt into blocks, each of which gets the centre; what no block links to the centre is
-compared with all other blocks too. Only spanning links leave a task.
+gets its texts once and is compared on full sets. A cluster of more than ``BLOCK`` documents is dealt into blocks, each of which gets the centre.
+Only spanning links leave a task.
+
+What no block links to the centre of a large cluster may be like documents of other blocks. Such documents are not sent to all of them: the sets of these clusters' documents are
+read once more, as rows of hashes, and each keeps its rarest shingles, so many that two documents as like as asked share one of them (a prefix filter, which misses none). Shingles that only one
+document has are no buckets, so a family whose members are unlike for what is their own leaves few. The buckets are clustered and compared as before, and what is
+still open in a large cluster then is compared with that cluster's other blocks.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import among, cut
@@ -143,32 +147,20 @@ def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
             done.add(i)
 
 
-def components_within(links: DataFrame) -> DataFrame:
-    """``centre, rep`` of those that links join to their cluster's centre inside their block, from links that span each block's parts."""
-    at_centre = links.where("a = centre or b = centre").select("centre", F.when(F.col("a") == F.col("centre"), F.col("b")).otherwise(F.col("a")).alias("rep"))
-    return at_centre.distinct()
-
-
-def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """``id, n_shingles, component`` for every row: the smallest id that links reach, itself included.
-
-    Two documents are linked if 100 * intersection >= percent * union of their shingle sets. Documents without words are
-    linked with nothing. Rows with a null id are left out. Rows that repeat an id are given once each, with the component of their
-    own set. An empty table gives no rows. A pair at the very threshold is missed with a chance of ``MISS``.
-    """
-    bands = bands_for(percent / 100)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    signed = cut(texts.mapInArrow(_signatures(words, bands), "id long, n_shingles long, set_key binary, bands array<long>"))
-    sets = signed.where("n_shingles > 0")
-    # one row of each set, combined inside tasks first: copies never meet; rows of one id may hold different sets, so a set is known by its key
-    reps = cut(sets.groupBy("set_key").agg(F.min(F.struct("id", "bands")).alias("one")).select("set_key", F.col("one.id").alias("rep"), F.col("one.bands").alias("bands")))
-    banded = reps.select("rep", F.explode("bands").alias("h")).distinct()
-    sizes = banded.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    shared = cut(banded.join(sizes, "h"))
+def _clusters(buckets: DataFrame) -> DataFrame:
+    """``centre, rep, own, nb`` from ``rep, h``: the members of each cluster, the block of each, and how many blocks there are. Written."""
+    sizes = buckets.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+    shared = cut(buckets.join(sizes, "h"))
     weight = shared.groupBy("rep").agg(F.sum("size").alias("weight"))
     centre = shared.join(weight, "rep").groupBy("h").agg(F.max(F.struct("weight", (-F.col("rep")).alias("neg"))).alias("best"))
     centre = centre.select("h", (-F.col("best.neg")).alias("centre"))
     members = cut(shared.join(centre, "h").select("centre", "rep").distinct())
+    blocks = members.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    return cut(members.join(blocks, "centre").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")))
+
+
+def _compared(texts: DataFrame, dealt: DataFrame, words: int, percent: int) -> DataFrame:
+    """``centre, a, b``: links that span the members of each group ``centre, i, j``."""
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("rep")
@@ -177,27 +169,79 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         found = spanning_links([shingle_set(t, words) for t in rows["text"]], percent)
         return pd.DataFrame([(key[0], ids[i], ids[j]) for i, j in found], columns=["centre", "a", "b"])
 
-    def compared(dealt: DataFrame) -> DataFrame:
-        # the same plan at every size: a broadcast of small inputs would not hold for large ones. Only texts that may be wanted are moved
-        rows = dealt.join(among(texts.select(F.col("id").alias("rep"), "text"), dealt, "rep").hint("merge"), "rep")
-        return rows.groupBy("centre", "i", "j").applyInPandas(lambda key, r: compare(key, r), "centre long, a long, b long")
+    # the same plan at every size: a broadcast of small inputs would not hold for large ones. Only texts that may be wanted are moved
+    rows = dealt.join(among(texts, dealt, "rep").hint("merge"), "rep")
+    return rows.groupBy("centre", "i", "j").applyInPandas(lambda key, r: compare(key, r), "centre long, a long, b long")
 
-    # first each block with the centre: texts are sent once, the centre once a block
-    blocks = members.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    dealt = cut(members.join(blocks, "centre").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")))
+
+def _with_centres(dealt: DataFrame) -> DataFrame:
+    """Each block with its cluster's centre: texts are sent once, the centre once a block."""
     every = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i")
     first = dealt.where("rep <> centre").select("centre", "rep", F.col("own").alias("i")).unionByName(dealt.where("rep = centre").select("centre", "rep", every))
-    near = cut(compared(cut(first.withColumn("j", F.col("i")))))
-    # then, in clusters of several blocks, those that are not linked to the centre against the other blocks; a family of near copies has few
-    settled = components_within(near)
-    left = dealt.where("nb > 1 and rep <> centre").join(settled, ["centre", "rep"], "left_anti")
-    open_blocks = cut(left.select("centre", F.col("own").alias("o")).distinct())
-    against = left.select("centre", "rep", "own", "nb")
-    pair = lambda o, k: (F.least(o, k).alias("i"), F.greatest(o, k).alias("j"))
-    mine = against.select("centre", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("k")).where("k <> own").select("centre", "rep", *pair(F.col("own"), F.col("k")))
-    theirs = dealt.where("nb > 1 and rep <> centre").join(open_blocks, "centre").where("o <> own").select("centre", "rep", *pair(F.col("own"), F.col("o")))
-    far = compared(cut(mine.unionByName(theirs).distinct()))
-    edges = near.unionByName(far).select("a", "b")
+    return cut(first.withColumn("j", F.col("i")))
+
+
+def _open(dealt: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of clusters of several blocks that their block does not link to the centre."""
+    settled = links.where("a = centre or b = centre").select("centre", F.when(F.col("a") == F.col("centre"), F.col("b")).otherwise(F.col("a")).alias("rep")).distinct()
+    return cut(dealt.where("nb > 1 and rep <> centre").join(settled, ["centre", "rep"], "left_anti"))
+
+
+def _rare_buckets(texts: DataFrame, dealt: DataFrame, left: DataFrame, words: int, percent: int) -> DataFrame:
+    """``rep, h``: the rarest shingles of the documents in open clusters, of which any two documents that are as like as asked share one; only shingles of two documents or more, one of them open."""
+    concerned = cut(dealt.join(left.select("centre").distinct(), "centre", "left_semi").select("rep").distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_py(), words).view(np.int64) for t in batch.column(1)]
+            n = np.array([len(x) for x in found], np.int64)
+            reps = np.repeat(batch.column(0).to_numpy(), n)
+            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.array(np.repeat(n, n))], ["rep", "h", "n"])
+
+    # rows that repeat an id hold its text each
+    rows = among(texts, concerned, "rep").join(concerned.hint("merge"), "rep", "left_semi").mapInArrow(sets, "rep long, h long, n long").distinct()
+    held = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    rows = cut(rows.join(cut(held).hint("merge"), "h"))
+    # shingles of one document come first in the order, and need no row: what they take of the prefix is what is missing here
+    lone = rows.groupBy("rep").agg((F.first("n") - F.count("*")).alias("lone"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "h")) + F.col("lone")
+    prefix = rows.join(lone, "rep").withColumn("place", place).where(100 * F.col("place") <= (100 - percent) * F.col("n") + 100)
+    # what two sets share from their first common shingle on is no more than what is left of either, so a set is in no link here if even the smallest set is too large for that
+    room = (F.col("n") - F.col("place") + 1) * (100 + percent) - percent * F.col("n")
+    prefix = cut(prefix.select("rep", "h", "n", room.alias("room")))
+    open_ = prefix.join(left.select("rep").distinct(), "rep", "left_semi").select("h").distinct()
+    of = prefix.groupBy("h").agg(F.min("n").alias("least"), F.max("room").alias("most")).join(open_, "h", "left_semi")
+    return prefix.join(cut(of).hint("merge"), "h").where((F.col("room") >= percent * F.col("least")) & (F.col("most") >= percent * F.col("n"))).select("rep", "h")
+
+
+def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """``id, n_shingles, component`` for every row: the smallest id that links reach, itself included.
+
+    Two documents are linked if 100 * intersection >= percent * union of their shingle sets. Documents without words are
+    linked with nothing. Rows with a null id are left out. Rows that repeat an id are given once each, with the component of their
+    own set. An empty table gives no rows. A pair at the very threshold is missed with a chance of ``MISS``.
+    """
+    bands = bands_for(percent / 100)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    signed = cut(texts.mapInArrow(_signatures(words, bands), "id long, n_shingles long, set_key binary, bands array<long>"))
+    sets = signed.where("n_shingles > 0")
+    # one row of each set, combined inside tasks first: copies never meet; rows of one id may hold different sets, so a set is known by its key
+    reps = cut(sets.groupBy("set_key").agg(F.min(F.struct("id", "bands")).alias("one")).select("set_key", F.col("one.id").alias("rep"), F.col("one.bands").alias("bands")))
+    texts = texts.select(F.col("id").alias("rep"), "text")
+    dealt = _clusters(reps.select("rep", F.explode("bands").alias("h")).distinct())
+    near = cut(_compared(texts, _with_centres(dealt), words, percent))
+    edges, left = near.select("a", "b"), _open(dealt, near)
+    if not left.isEmpty():
+        # first among those that share a rare shingle, then, in clusters that are large even so, against the other blocks
+        dealt = _clusters(_rare_buckets(texts, dealt, left, words, percent))
+        near = cut(_compared(texts, _with_centres(dealt), words, percent))
+        edges, left = edges.unionByName(near.select("a", "b")), _open(dealt, near)
+        if not left.isEmpty():
+            open_blocks = cut(left.select("centre", F.col("own").alias("o")).distinct())
+            pair = lambda o, k: (F.least(o, k).alias("i"), F.greatest(o, k).alias("j"))
+            mine = left.select("centre", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("k")).where("k <> own").select("centre", "rep", *pair(F.col("own"), F.col("k")))
+            theirs = dealt.where("nb > 1 and rep <> centre").join(open_blocks, "centre").where("o <> own").select("centre", "rep", *pair(F.col("own"), F.col("o")))
+            edges = edges.unionByName(_compared(texts, cut(mine.unionByName(theirs).distinct()), words, percent).select("a", "b"))
     found = components(edges).withColumnRenamed("id", "rep")
     # one row a set, written: copies meet their set's row only, in a join whose hot keys can be split
     named = cut(reps.select("set_key", "rep").join(found, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component")))

@@ -11,6 +11,8 @@
    grow by one or fall to the least between neighbours. Since equal strings lie at the same place, suffixes of one column
    need only be compared with each other, so a column replaces the last one (positional transform) and a round
    costs one step a passage.
+4. Hot anchors. Where more than ``HOT`` unequal passages share an anchor, they are split by all the bytes of a string: each of the few hundred places at which a
+   string of ``length`` bytes through the anchor can start gives a row with the string's digest, and rows are counted, combined inside tasks. So no task meets all passages of an anchor.
 
 Texts are moved only if they hold such a passage, or lose bytes; a bitmap of fixed size tells which do not. If a bitmap fills up, more is moved and results
 stay the same. All lengths are judged on the input, so the result does not depend on any order of removal.
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import among, bitmap, cut, partitions
 
-#: Bytes of a gram at most (or half of the least length), bytes hashed at a time, passages sorted at a time.
-GRAM, BATCH, TOGETHER = 200, 1 << 20, 8192
+#: Bytes of a gram at most (or half of the least length), bytes hashed at a time, passages sorted at a time, unequal passages of an anchor from which on it is hot.
+GRAM, BATCH, TOGETHER, HOT = 200, 1 << 20, 8192, 1 << 16
 
 _VALUES = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -114,12 +116,12 @@ def repeated_starts(passages: list[bytes], left: np.ndarray, group: np.ndarray,
     return out
 
 
-def spans_of(docs: DataFrame, key: str, text_col: str, lengths: list[int]) -> DataFrame:
-    """``key, kind, start, end`` of stretches that are repeated for the length of number ``kind``, which may overlap; ``key`` (binary) tells different texts apart."""
+def spans_of(docs: DataFrame, key_: str, text_col: str, lengths: list[int]) -> DataFrame:
+    """``key_, kind, start, end`` of stretches that are repeated for the length of number ``kind``, which may overlap; ``key_`` (binary) tells different texts apart."""
     least, length = min(lengths), max(lengths)
     gram = min(GRAM, least // 2)
     reach = length - gram
-    rows = docs.select(F.col(key).alias("rid"), F.col(text_col).alias("text")).where(F.octet_length("text") >= least)
+    rows = docs.select(F.col(key_).alias("rid"), F.col(text_col).alias("text")).where(F.octet_length("text") >= least)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,16 +156,17 @@ def spans_of(docs: DataFrame, key: str, text_col: str, lengths: list[int]) -> Da
     equal = equal.select("rid", F.explode(F.array(*(F.when(F.col("l") + F.col("r") >= size, F.lit(i)) for i, size in enumerate(lengths)))).alias("kind"), (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end")).where("kind is not null")
 
     # a kind that occurs once is looked for in the others; one that occurs more often is covered above and only compared with
-    wanted = kinds.where("kinds > 1").select("h", (F.col("n") == 1).alias("single"), "one.*").groupBy("rid").agg(F.collect_list(F.struct("h", "single", "pos", "l", "r")).alias("places"))
-    wanted = cut(wanted)
-    held = among(rows, wanted, "rid").hint("merge").join(wanted, "rid")
+    places = kinds.where("kinds > 1").select("h", (F.col("n") == 1).alias("single"), (F.col("kinds") > HOT).alias("hot"), "one.*")
+    wanted = cut(places.groupBy("rid").agg(F.collect_list(F.struct("h", "single", "hot", "pos", "l", "r")).alias("places")))
+    held = among(rows, wanted, "rid").hint("merge").join(wanted, "rid").select("rid", "text", "places")
+    hot = places.where("hot").limit(1).count() > 0
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for rid, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 data = text.as_py().encode("utf-8", "replace")
-                out += [(p["h"], p["single"], rid, p["pos"], p["l"], data[p["pos"] - p["l"] : p["pos"] + p["r"]]) for p in places]
+                out += [(p["h"], p["single"], rid, p["pos"], p["l"], data[p["pos"] - p["l"] : p["pos"] + p["r"]]) for p in places if not p["hot"]]
             columns = list(zip(*out)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int32(), pa.binary()))], ["h", "single", "rid", "pos", "l", "passage"])
 
@@ -186,9 +189,30 @@ def spans_of(docs: DataFrame, key: str, text_col: str, lengths: list[int]) -> Da
         if held:
             yield settle(held)
 
-    passages = held.select("rid", "text", "places").mapInArrow(extract, "h long, single boolean, rid binary, pos int, l int, passage binary")
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each string through a hot anchor: its place beside the anchor and its digest."""
+        for batch in batches:
+            for rid, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                data = text.as_py().encode("utf-8", "replace")
+                for p in (p for p in places if p["hot"]):
+                    for kind, size in enumerate(lengths):
+                        starts = np.arange(max(p["pos"] - min(p["l"], size - gram), 0), min(p["pos"], len(data) - size) + 1, dtype=np.int32)
+                        digests = np.fromiter((xxhash.xxh3_64_intdigest(data[s : s + size]) for s in starts.tolist()), np.uint64, len(starts)).view(np.int64)
+                        n, of = len(starts), lambda v, t: pa.repeat(pa.scalar(v, t), len(starts))  # noqa: B023
+                        columns = [of(p["h"], pa.int64()), of(p["single"], pa.bool_()), of(rid, pa.binary()), of(kind, pa.int32()), pa.array(starts), pa.array(starts - np.int32(p["pos"])), pa.array(digests)]
+                        if n:
+                            yield pa.RecordBatch.from_arrays(columns, ["h", "single", "rid", "kind", "start", "off", "w"])
+
+    passages = held.mapInArrow(extract, "h long, single boolean, rid binary, pos int, l int, passage binary")
     unequal = passages.repartition(partitions(docs.sparkSession), "h").sortWithinPartitions("h").mapInArrow(compare, "rid binary, kind int, start int, end int")
-    return equal.union(unequal).withColumnRenamed("rid", key)
+    out = equal.union(unequal)
+    if hot:
+        strings = cut(held.where(F.exists("places", lambda p: p["hot"]))).mapInArrow(windows, "h long, single boolean, rid binary, kind int, start int, off int, w long")
+        key = ["h", "kind", "off", "w"]
+        twice = cut(strings.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key))
+        end = F.col("start") + F.element_at(F.array(*map(F.lit, lengths)), F.col("kind") + 1)
+        out = out.union(strings.where("single").join(twice.hint("merge"), key).select("rid", "kind", "start", end.alias("end")))
+    return out.withColumnRenamed("rid", key_)
 
 
 def remove_spans(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int, int]:

@@ -222,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     ``labels`` holds the ids and labels to learn from; null ids and labels are left out, an id that is labelled twice
     counts as 1 if it is once. One task trains; the sample's bound is its bound: labelled texts that are null or of more than ``most_chars`` characters are not learned
-    from (all texts are scored whole), equal texts count once, of rows that repeat an id one counts. Without rows or with one class only, every text
+    from (all texts are scored whole), equal texts count once, of rows that repeat an id the one whose text comes first in order. Without rows or with one class only, every text
     with words scores the share of label 1. Other columns are ignored.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
@@ -230,11 +230,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most_docs) for y in (0, 1)]
     chosen = chosen[0].union(chosen[1])
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull() & (F.char_length("_text") <= most_chars))
-    sample = rows.join(F.broadcast(chosen), "_id")
+    # of rows that repeat an id the same text counts in every run
+    sample = rows.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
     prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = pd.concat([pd.DataFrame({"_id": [], "_y": [], "_text": []}), *batches]).drop_duplicates("_id").sort_values("_id")
+        got = pd.concat([pd.DataFrame({"_id": [], "_y": [], "_text": []}), *batches]).sort_values("_id")
         yield pd.DataFrame({"model": [pickle.dumps(train(got["_text"].tolist(), got["_y"].to_numpy(int), prior))]})
 
     found = sample.select("_id", "_y", "_text").repartition(1).mapInPandas(run, "model binary").collect()

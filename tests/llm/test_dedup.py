@@ -112,8 +112,15 @@ def test_blocks_give_the_same_links(frame, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(texts, 3, 85).items()}
 
 
+def counted(monkeypatch):
+    """How many rows each comparison deals to its groups, with the text."""
+    sent, plain = [], minhash._compared
+    monkeypatch.setattr(minhash, "_compared", lambda texts, dealt, *a: (sent.append(dealt.count()), plain(texts, dealt, *a))[1])
+    return sent
+
+
 def test_large_families_send_each_text_a_few_times(frame, monkeypatch):
-    """Near copies that link to their centre meet it once; only what does not is compared with other blocks."""
+    """Near copies that link to their centre meet it once; only what does not is compared with others."""
     rng = random.Random(6)
     base = [f"w{rng.randrange(900)}" for _ in range(100)]
     texts = []
@@ -122,12 +129,54 @@ def test_large_families_send_each_text_a_few_times(frame, monkeypatch):
         copy[rng.randrange(100)] = f"x{k}"
         texts.append(" ".join(copy))
     monkeypatch.setattr(minhash, "BLOCK", 10)
-    sent = []
-    plain = minhash.among
-    monkeypatch.setattr(minhash, "among", lambda rows, keys, key: (sent.append(keys.count()), plain(rows, keys, key))[1])
+    sent = counted(monkeypatch)
     got = minhash.components_of(frame(texts), words=3, percent=85)
     assert {r["component"] for r in got.collect()} == {0}
-    assert len(sent) == 2 and sent[0] < 3 * 230 and sent[1] < 200  # 20 blocks: all against all would be 200 * 20
+    assert sent[0] < 3 * 230 and sum(sent[1:]) < 200  # 20 blocks: all against all would be 200 * 20
+
+
+def family(rng, n, pairs):
+    """Documents of 100 words that share most of them and are below the threshold pairwise, and as many close to one of these."""
+    base = [f"w{k}" for k in range(100)]
+    out = []
+    for k in range(n):
+        copy, at = list(base), rng.randrange(92)
+        copy[at : at + 8] = [f"x{k}_{j}" for j in range(8)]
+        out.append(copy)
+    out += [[*copy[:99], f"y{k}"] for k, copy in enumerate(out[:pairs])]
+    return [" ".join(copy) for copy in out]
+
+
+@pytest.mark.parametrize("block", [16, 64])
+def test_families_below_the_threshold_are_not_sent_to_all_blocks(frame, monkeypatch, block):
+    texts = family(random.Random(8), 400, 40)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    sent = counted(monkeypatch)
+    got = {r["id"]: r["component"] for r in minhash.components_of(frame(texts), words=3, percent=85).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(texts, 3, 85).items()} and len({*got.values()}) == 400
+    assert sum(sent) < 10 * len(texts)
+
+
+@pytest.mark.parametrize("one_bucket", [False, True])
+def test_open_documents_meet_in_large_rare_clusters(frame, monkeypatch, one_bucket):
+    """Several families in one cluster, each larger than a block; also if the rare shingles tell nothing, so that documents stay open after both passes."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(100)]
+    texts = []
+    for f in range(4):
+        own = list(base)
+        own[20 * f : 20 * f + 8] = [f"f{f}_{j}" for j in range(8)]
+        for k in range(40):
+            copy = list(own)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(100)] = f"z{rng.randrange(400)}"
+            texts.append(" ".join(copy))
+    monkeypatch.setattr(minhash, "BLOCK", 6)
+    if one_bucket:
+        monkeypatch.setattr(minhash, "_rare_buckets", lambda texts, dealt, *a: dealt.selectExpr("rep", "0L as h").distinct())
+    sent = counted(monkeypatch)
+    got = {r["id"]: r["component"] for r in minhash.components_of(frame(texts), words=3, percent=85).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(texts, 3, 85).items()} and len(sent) == 2 + one_bucket
 
 
 def test_signature_is_circulant():
@@ -169,8 +218,9 @@ def brute_passages(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length", [40, 400])
-def test_passages_match_brute_force(frame, length):
+@pytest.mark.parametrize("length, hot", [(40, 2048), (400, 2048), (40, 1), (400, 1), (400, 3)])
+def test_passages_match_brute_force(frame, monkeypatch, length, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = random.Random(length)
     draw = lambda n: "".join(rng.choice("abcdefé \n") for _ in range(n))
     shared = [draw(rng.randint(length // 2, 3 * length)) for _ in range(6)]
