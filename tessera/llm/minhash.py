@@ -203,9 +203,9 @@ def _rare_buckets(texts: DataFrame, dealt: DataFrame, left: DataFrame, words: in
     held = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     rows = cut(rows.join(cut(held).hint("merge"), "h"))
     # shingles of one document come first in the order, and need no row: what they take of the prefix is what is missing here
-    lone = rows.groupBy("rep").agg((F.first("n") - F.count("*")).alias("lone"))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "h")) + F.col("lone")
-    prefix = rows.join(lone, "rep").withColumn("place", place).where(100 * F.col("place") <= (100 - percent) * F.col("n") + 100)
+    own = Window.partitionBy("rep")
+    place = F.row_number().over(own.orderBy("df", "h")) + F.col("n") - F.count("*").over(own)
+    prefix = rows.withColumn("place", place).where(100 * F.col("place") <= (100 - percent) * F.col("n") + 100)
     # what two sets share from their first common shingle on is no more than what is left of either, so a set is in no link here if even the smallest set is too large for that
     room = (F.col("n") - F.col("place") + 1) * (100 + percent) - percent * F.col("n")
     prefix = cut(prefix.select("rep", "h", "n", room.alias("room")))
