@@ -8,6 +8,9 @@ The references come from all documents with a language: one aggregate of class c
 tasks before it is shuffled. They hold ``COMMON`` words a language and are sent as literals, and judging is a map
 over rows with neither shuffle nor join. The plan has the same size for any number of languages, and a document's words are
 compared with those languages only that have one of them: of all others, the one whose common words are rarest is nearest.
+
+A row whose label has no reference may be prose of a rare language, in letters that no reference has. It is compared with the pool of all documents, on digits, punctuation and
+the rest: what any script's prose has little of tells junk from it.
 """
 
 from __future__ import annotations
@@ -17,10 +20,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE_CHARS, SPACE_CLASS, let
+from tessera.llm.common import SPACE_CHARS, SPACE_CLASS, cut, let
 
-#: Words of a language's reference; least number of slots for words; a language with this share of all words, or so many words, has a reference.
-COMMON, SLOTS, LEAST_SHARE, ENOUGH_WORDS = 64, 1 << 13, 0.001, 100_000
+#: Words of a language's reference; least number of slots for words; a language with this share of all words, or so many words, has a reference, the largest so many languages at most.
+COMMON, SLOTS, LEAST_SHARE, ENOUGH_WORDS, LANGUAGES = 64, 1 << 13, 0.001, 100_000, 256
 #: Least words and characters to be judged, largest distances of documents that stay.
 LEAST_WORDS, LEAST_CHARS, MOST_WORDS_JS, MOST_CHARS_JS = 60, 200, 0.53, 0.27
 #: Least part of the common words that the language with the fewest would have in a text, and standard deviations allowed for noise.
@@ -58,7 +61,7 @@ def with_classes(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class References:
-    """By language: shares of the character classes; and of the words in each slot, with the words that own the slots and their hashes.
+    """By language: shares of the character classes; and of the words in each slot, with the words that own the slots and their hashes. ``pooled``: shares of the classes over all languages.
 
     A word's slot is its hash, shifted by the number of bits that ``shifts`` holds for the hash's lowest bits; no two words share a slot.
     """
@@ -68,6 +71,7 @@ class References:
     owners: dict[int, str]
     hashes: dict[int, int]
     shifts: list[int]
+    pooled: list[float]
 
 
 def place(hashes: dict[str, int]) -> tuple[dict[str, int], list[int]]:
@@ -96,17 +100,20 @@ def place(hashes: dict[str, int]) -> tuple[dict[str, int], list[int]]:
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> References:
-    """Histograms from all rows with a language, of every language that holds at least ``LEAST_SHARE`` of all words or ``ENOUGH_WORDS`` of them.
+    """Histograms from all rows with a language: of the ``LANGUAGES`` with most words among those that hold ``LEAST_SHARE`` of all words or ``ENOUGH_WORDS`` of them, and of all rows together.
 
-    A language keeps its reference as the corpus grows. The driver holds one row and ``COMMON`` words for each of them.
+    A language keeps its reference as the corpus grows around it. The driver holds one row and ``COMMON`` words for each of them.
     """
     rows = with_words(docs.select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_in")).where("_lang is not null"), "_in")
-    sums = with_classes(rows).groupBy("_lang").agg(F.sum("_n").alias("n"), *(F.sum(f"_c_{k}").alias(k) for k in _HISTOGRAM))
-    total = Window.partitionBy(F.lit(0))
-    sums = sums.withColumn("all", F.sum("n").over(total)).where((F.col("n") >= LEAST_SHARE * F.col("all")) | (F.col("n") >= ENOUGH_WORDS)).where("n > 0")
-    found = {r["_lang"]: r for r in sorted(sums.collect(), key=lambda r: r["_lang"])}
+    sums = cut(with_classes(rows).groupBy("_lang").agg(F.sum("_n").alias("n"), *(F.sum(f"_c_{k}").alias(k) for k in _HISTOGRAM)))
+    total = sums.agg(F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in _HISTOGRAM)).first()
+    if not total["n"]:
+        return References({}, {}, {}, {}, [], [])
+    pooled = [total[k] / sum(total[k] for k in _HISTOGRAM) for k in _HISTOGRAM]
+    held = sums.where(((F.col("n") >= LEAST_SHARE * total["n"]) | (F.col("n") >= ENOUGH_WORDS)) & (F.col("n") > 0)).orderBy(F.desc("n"), "_lang").limit(LANGUAGES)
+    found = {r["_lang"]: r for r in sorted(held.collect(), key=lambda r: r["_lang"])}
     if not found:
-        return References({}, {}, {}, {}, [])
+        return References({}, {}, {}, {}, [], pooled)
     counts = rows.where(F.col("_lang").isin(list(found))).select("_lang", F.explode("_words").alias("_w")).groupBy("_lang", F.col("_w").alias("word")).agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "word"))
     top = counts.withColumn("rank", rank).where(F.col("rank") <= COMMON).select("_lang", "word", "n", F.xxhash64("word").alias("hash")).collect()  # COMMON rows a language
@@ -116,7 +123,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     for r in top:
         words[r["_lang"]][slots[r["word"]]] = r["n"] / found[r["_lang"]]["n"]
     classes = {lang: [r[k] / max(1, sum(r[k] for k in _HISTOGRAM)) for k in _HISTOGRAM] for lang, r in found.items()}
-    return References(classes, words, {s: w for w, s in slots.items()}, {s: hashes[w] for w, s in slots.items()}, shifts)
+    return References(classes, words, {s: w for w, s in slots.items()}, {s: hashes[w] for w, s in slots.items()}, shifts, pooled)
 
 
 def _literal(values: list, kind: str) -> Column:
@@ -146,6 +153,17 @@ def class_distance(refs: References) -> Column:
     return F.when(F.col("_chars") > 0, _distance(least))
 
 
+def pooled_distance(refs: References) -> Column:
+    """Distance of digits, punctuation and all other characters to the pool of all languages; null without references or characters."""
+    if not refs.pooled:
+        return F.lit(None).cast("double")
+    told = ("digit", "punctuation")
+    own = [refs.pooled[_HISTOGRAM.index(k)] for k in told]
+    shares = [F.col(f"_c_{k}") / F.greatest("_chars", F.lit(1)) for k in told]
+    terms = [_term(p, q) for p, q in zip([*shares, 1 - sum(shares)], [*own, 1 - sum(own)])]
+    return F.when(F.col("_chars") > 0, _distance(sum(terms, F.lit(0.0))))
+
+
 def word_distance(refs: References) -> Column:
     """Distance of the common-word histogram ``_runs`` (slot, times) to the nearest language; null without references or words.
 
@@ -228,15 +246,15 @@ def with_repeats(docs: DataFrame, width: int = 8) -> DataFrame:
     return out.withColumn("_repeat", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), slow).otherwise(0).cast("long")).drop("_h")
 
 
-OUTPUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "word_js", "class_js", "base_failed", "kept")
+OUTPUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "word_js", "class_js", "pooled_js", "base_failed", "kept")
 
 
 def judge(docs: DataFrame, refs: References, text_col: str = "text", lang_col: str | None = None, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS, most_words_js: float = MOST_WORDS_JS, most_chars_js: float = MOST_CHARS_JS) -> DataFrame:
-    """The documents with counts (long), ``base_failed``, ``word_js``, ``class_js`` (0 to 1, null if not measurable) and ``kept``.
+    """The documents with counts (long), ``base_failed``, ``word_js``, ``class_js``, ``pooled_js`` (0 to 1, null if not measurable) and ``kept``.
 
-    Rows whose ``lang_col`` names a language without a reference are not judged by distance: it may be a rare language.
+    Rows whose ``lang_col`` names a language without a reference are judged by ``pooled_js``, which no script stands out in, and not by words: it may be a rare language.
     Null and empty texts have no words and fail the base rules. Without references (no row has a language) nothing is
-    far. Rows that repeat are judged each. Input columns named like an output are replaced.
+    far. Texts of any length are judged whole, each in the memory of its row. Rows that repeat are judged each. Input columns named like an output are replaced.
     """
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text_col).alias("_in"))  # no name of the input can clash with those used here
     out = with_repeats(with_runs(with_hashes(with_classes(with_words(row, "_in"))), refs))
@@ -245,12 +263,12 @@ def judge(docs: DataFrame, refs: References, text_col: str = "text", lang_col: s
     out = out.withColumns({
         "n_words": F.col("_n").cast("long"), "word_chars": F.col("_word_chars"), "n_symbols": removed(F.col("_rare"), "[#*$%&|<>]+"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "n_repeat_words": F.col("_repeat"),
-        "word_js": word_distance(refs), "class_js": class_distance(refs),
+        "word_js": word_distance(refs), "class_js": class_distance(refs), "pooled_js": pooled_distance(refs),
     })
     far = ((F.col("n_words") >= least_words) & ((F.col("word_js") > most_words_js) | lacks_common_words(refs))) | ((F.col("_chars") >= least_chars) & (F.col("class_js") > most_chars_js))
-    if lang_col is not None and refs.classes:
-        lang = F.col("_row")[lang_col]
-        far = far & (lang.isNull() | lang.isin(list(refs.classes)))
+    if lang_col is not None and refs.pooled:
+        known = F.coalesce(F.col("_row")[lang_col].isin(list(refs.classes)), F.lit(True))
+        far = F.when(known, far).otherwise((F.col("_chars") >= least_chars) & (F.col("pooled_js") > most_chars_js))
     out = out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     out = out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
     return out.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c not in OUTPUT), *OUTPUT)

@@ -15,7 +15,7 @@ from tessera.llm.common import documents, remainder
 def op1_divergence(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d).select("doc_id", "text", "lang")
     out = divergence.judge(docs, divergence.references(docs), lang_col="lang")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "word_js", "class_js")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "word_js", "class_js", "pooled_js")
 
 
 def op2_mixing(spark: SparkSession, d: str) -> DataFrame:

@@ -133,11 +133,29 @@ def test_texts_without_common_words_go(spark):
     assert all(got[i]["kept"] for i, *_ in rows + mixed)
 
 
-def test_rare_languages_are_not_judged(frame):
-    prose = frame(["the of and word " * 30] * 5)
-    docs, refs = frame([" ".join(f"zq{i}" for i in range(100))], "xx"), divergence.references(prose)
-    assert [(r["base_failed"], r["kept"]) for r in divergence.judge(docs, refs).collect()] == [(False, False)]
-    assert [r["kept"] for r in divergence.judge(docs, refs, lang_col="lang").collect()] == [True]
+def test_labels_without_a_reference_are_judged_by_the_pool(frame, spark):
+    """Junk goes whatever its label; prose of rare languages stays, in any script; words are not judged where no reference can tell."""
+    prose = [" ".join(["the of and to in"] * 10 + [f"word{i} more words. And, so"] * 8) for i in range(200)]
+    refs = divergence.references(frame(prose))
+    rng = random.Random(4)
+    junk = ["".join(rng.choice("#*$%&|<>[]{}=+ ") for _ in range(900)), " ".join(str(rng.randrange(10**6)) for _ in range(150))]
+    rare = ["".join(rng.choice("абвгдежзиклмнопрст") + (" " if rng.random() < 0.18 else "") for _ in range(900)) + ".", "。".join("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(20)) + " " for _ in range(30)), " ".join(f"zq{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200))]
+    rows = [(k * 10 + i, text, label) for k, label in enumerate(["zz", "en", None]) for i, text in enumerate(junk + rare)]
+    got = {r["doc_id"]: r for r in divergence.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), refs, lang_col="lang").collect()}
+    assert not any(got[k * 10 + i]["kept"] for k in range(3) for i in range(2)) and not any(got[i]["base_failed"] for i in (1, 2, 4))
+    assert all(got[2 + i]["kept"] for i in range(3)) and not got[12]["kept"] and not got[14]["kept"]
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    """Ten thousand labels give a plan of bounded size, and those beyond the bound are judged by the pool."""
+    import time
+
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 30), i -> concat('w', (id * 31 + i * i) % 5000))) as text", "concat('l', id % 10000) as lang")
+    monkeypatch.setattr(divergence, "ENOUGH_WORDS", 1)
+    began = time.time()
+    refs = divergence.references(docs)
+    divergence.judge(docs, refs, lang_col="lang")
+    assert len(refs.classes) == divergence.LANGUAGES and time.time() - began < 60
 
 
 def test_rules_odd_rows(odd, none):
