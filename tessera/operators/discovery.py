@@ -35,8 +35,9 @@ def _with_duplicates(df: DataFrame, sets: list[tuple[str, ...]], kinds: dict[str
     found: set[int] = set()
     for at in range(0, len(sets), TOGETHER):
         pairs = [F.struct(F.lit(at + i).alias("set"), *(h.alias(n) for h, n in zip(_pair(s, kinds), "ab"))) for i, s in enumerate(sets[at : at + TOGETHER])]
-        rows = df.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
-        rows = rows.where(F.pmod("a", F.lit(EARLY)) == 0) if early else rows
+        own = F.array(*pairs)
+        own = F.filter(own, lambda x: F.pmod(x["a"], F.lit(EARLY)) == 0) if early else own
+        rows = df.select(F.explode(own).alias("x")).select("x.*")
         held = rows.groupBy("set", "a", "b").agg(F.count("*").alias("n")).where("n > 1").select("set").distinct()
         found |= {r["set"] for r in held.collect()}  # one row a set at most
     return found
