@@ -1,10 +1,11 @@
 """Packing documents into sequences by multiway Karmarkar-Karp differencing.
 
-Documents are tokenised once (ids are merged by rank, which gives the tokenizer file's ids where they count up in the order of merges, as is checked); only pieces (id, start, length, checksum) are shuffled. Whole sequences are cut off first, the
-rest of a document is cut into short pieces of one length and an end, and the pieces are dealt into bins of bounded size by a hash of row and
+Documents are tokenised once (ids are merged by rank, which gives the tokenizer file's ids where they count up in the order of merges, as is checked); only pieces (id, start, length, checksum, and the ids of those that may be cut again) are shuffled. Documents that fit a sequence stay
+whole. From longer ones, which lie in several sequences anyway, whole sequences are cut off and the rest is cut into short pieces of one length and an end. The pieces are dealt into bins of bounded size by a hash of row and
 place, so no key can make a bin large. In each bin, differencing merges the two partial partitions of largest spread, the
 large windows of one with the small windows of the other, until one near-equal partition is left. If a window
-exceeds the capacity, the bin is packed again with one window more.
+exceeds the capacity, the bin is packed again with one window more, up to a small share of the windows. What windows still hold beyond the capacity is
+cut off, from pieces of long documents where there are any, and goes to the windows that have room.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import heapq
 import json
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,11 +28,13 @@ from tokenizers import Tokenizer
 from tessera.llm.bpe import SpacedCodec
 from tessera.llm.common import cut
 
-#: Tokens of a sequence, of the longest piece besides whole sequences, id that ends a document, pieces of a bin.
+#: Tokens of a sequence, of the longest piece of a longer document besides whole sequences, id that ends a document, pieces of a bin.
 CAPACITY, LONGEST, END_ID, BIN = 1024, 256, 0, 2048
+#: Windows for each of which there may be one more than the least possible.
+SPARE = 256
 
-OUTPUT = ("start", "length", "ids_crc32", "doc_tokens", "bin_key", "ids", "sequence_id", "offset", "_bin")
-PIECE = "start long, length long, ids_crc32 long, doc_tokens long, bin_key long"
+OUTPUT = ("start", "length", "ids_crc32", "doc_tokens", "bin_key", "ids", "sequence_id", "offset", "_bin", "_ids")
+PIECE = "start long, length long, ids_crc32 long, doc_tokens long, bin_key long, _ids binary"
 
 
 def difference(sizes: list[int], m: int) -> list[int]:
@@ -66,16 +70,55 @@ def difference(sizes: list[int], m: int) -> list[int]:
     return window
 
 
-def windows(sizes: list[int], capacity: int = CAPACITY) -> list[int]:
-    """Window of each size, none over capacity; the window count starts at the least possible and rises while one is exceeded."""
+def windows(sizes: list[int], capacity: int = CAPACITY, spare: int | None = None) -> list[int]:
+    """Window of each size, none over capacity; the window count starts at the least possible and rises while one is exceeded.
+
+    If it may rise by ``spare`` only, windows can be over capacity in the end.
+    """
     m = max(1, -(-sum(sizes) // capacity))
+    last = None if spare is None else m + spare
     while True:
         found = difference(sizes, m)
-        if not sizes or np.bincount(found, weights=sizes).max() <= capacity:
+        if not sizes or m == last or np.bincount(found, weights=sizes).max() <= capacity:
             return found
         m += 1
 
 
+def level(sizes: list[int], window: list[int], loose: list[bool], capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
+    """(index, start, length, window) of all pieces, after windows over capacity have given their excess to those with room.
+
+    The excess comes off the ends of the window's loose pieces, largest first, then of its largest other pieces. The parts cut off go where they
+    fit closest, largest first, and are cut again only if they fit nowhere.
+    """
+    held: dict[int, list[int]] = {}
+    for i, w in enumerate(window):
+        held.setdefault(w, []).append(i)
+    out, moved, rooms = [], [], []
+    for w in range(max(held, default=-1) + 1):
+        own = held.get(w, [])
+        excess = sum(sizes[i] for i in own) - capacity
+        if excess < 0:
+            rooms.append((-excess, w))
+        for i in sorted(own, key=lambda i: (not loose[i], -sizes[i])):
+            off = min(max(excess, 0), sizes[i])
+            excess -= off
+            if off:
+                moved.append((off, i, sizes[i] - off))
+            if off < sizes[i]:
+                out.append((i, 0, sizes[i] - off, w))
+    rooms.sort()
+    for size, i, start in sorted(moved, reverse=True):
+        while size:
+            k = min(bisect_left(rooms, (size, -1)), len(rooms) - 1)
+            room, w = rooms.pop(k)
+            part = min(size, room)
+            out.append((i, start, part, w))
+            if part < room:
+                insort(rooms, (room - part, w))
+            size, start = size - part, start + part
+    return out
+
+
 def read_tokenizer(path: str) -> tuple[dict[bytes, int], list[str]]:
     """Ranks of a byte-level BPE tokenizer's file whose ids count up in the order of its merges, and its special tokens."""
     with open(path, encoding="utf-8") as f:
@@ -109,41 +152,43 @@ def _ids(path: str, pattern: str) -> _Ids:
 
 
 def cuts(n: int, capacity: int, longest: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document of n tokens: whole sequences, then pieces of ``longest`` and what is left of it."""
+    """(start, length) of the pieces of a document of n tokens: all of it if it fits, else whole sequences, then pieces of ``longest`` and what is left of it."""
+    if n <= capacity:
+        return [(0, n)]
     edges = [*range(0, n - n % capacity, capacity), *range(n - n % capacity, n, longest), n]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
 def pieces(docs: DataFrame, path: str, pattern: str, text_col: str = "text", capacity: int = CAPACITY, longest: int = LONGEST, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """The rows without their text, once for each piece: ``PIECE``, and ``ids`` if asked for. Every document ends with ``end_id``; null texts are empty."""
+    """The rows without their text, once for each piece: ``PIECE``. Every document ends with ``end_id``; null texts are empty.
+
+    ``_ids`` has little-endian unsigned 32-bit ids, null for whole sequences unless ``with_ids``.
+    """
     kept = [f for f in docs.schema if f.name != text_col and f.name not in OUTPUT]
-    schema = T.StructType(kept + list(T.StructType.fromDDL(PIECE + (", ids array<int>" if with_ids else ""))))
+    schema = T.StructType(kept + list(T.StructType.fromDDL(PIECE)))
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end, row = _ids(path, pattern), np.array([end_id], "<u4"), 0
         for batch in batches:
-            texts, at, columns = batch.column(batch.schema.get_field_index(text_col)), [], [[] for _ in range(5)]
-            ids_out = []
+            texts, at, columns = batch.column(batch.schema.get_field_index(text_col)), [], [[] for _ in range(6)]
             for i, text in enumerate(texts):
                 ids = np.concatenate([own.encode(text.as_py() or ""), end])
                 for start, length in cuts(len(ids), capacity, longest):
-                    part = ids[start : start + length]
-                    key = zlib.crc32(b"%d %d %d" % (row, start, zlib.crc32(part)))
+                    part = ids[start : start + length].tobytes()
+                    crc = zlib.crc32(part)
                     at.append(i)
-                    for column, value in zip(columns, (start, length, zlib.crc32(part), len(ids), key)):
+                    for column, value in zip(columns, (start, length, crc, len(ids), zlib.crc32(b"%d %d %d" % (row, start, crc)), part if with_ids or length < capacity else None)):
                         column.append(value)
-                    if with_ids:
-                        ids_out.append(part.astype(np.int32))
                 row += 1
             rest = [batch.column(batch.schema.get_field_index(f.name)).take(pa.array(at, pa.int64())) for f in kept]
-            own_columns = [pa.array(c, pa.int64()) for c in columns] + ([pa.array(ids_out, pa.list_(pa.int32()))] if with_ids else [])
+            own_columns = [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(columns[5], pa.binary())]
             yield pa.RecordBatch.from_arrays(rest + own_columns, names=schema.fieldNames())
 
     return docs.select(*(f.name for f in kept), text_col).mapInArrow(tokenise, schema)
 
 
 def pack(docs: DataFrame, path: str, pattern: str, text_col: str = "text", capacity: int = CAPACITY, longest: int = LONGEST, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """One row for each piece of each document: the columns of the row but its text, then start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row for each piece of each document: the columns of the row but its text, then start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
     Sequences hold at most ``capacity`` tokens and have no gap from 0; each token lies in exactly one piece. Ties are broken
     by the order of start, length and checksum. Null and empty texts are one piece that holds ``end_id``. An
@@ -151,15 +196,25 @@ def pack(docs: DataFrame, path: str, pattern: str, text_col: str = "text", capac
     """
     found = cut(pieces(docs, path, pattern, text_col, capacity, longest, end_id, with_ids))
     n_bins = max(1, found.count() // BIN)
-    schema = T.StructType([f for f in found.schema if f.name != "bin_key"] + list(T.StructType.fromDDL("sequence_id long, offset long")))
+    added = "sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
+    schema = T.StructType([f for f in found.schema if f.name not in ("bin_key", "_ids")] + list(T.StructType.fromDDL(added)))
 
     def deal(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "ids_crc32", "start"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         whole = int((rows["length"] == capacity).sum())
-        window = list(range(whole)) + [whole + w for w in windows(rows["length"].tolist()[whole:], capacity)]
-        rows["sequence_id"] = np.array(window, np.int64) + (int(key[0]) << 32)
-        rows = rows.sort_values("sequence_id", kind="stable")
+        sizes, loose = rows["length"].tolist()[whole:], (rows["doc_tokens"] > capacity).tolist()[whole:]
+        window = windows(sizes, capacity, sum(sizes) // capacity // SPARE)
+        parts = [(i, 0, capacity, i) for i in range(whole)] + [(i + whole, start, n, w + whole) for i, start, n, w in level(sizes, window, loose, capacity)]
+        at, skip, length, window = np.array(parts, np.int64).T
+        rows = rows.iloc[at].reset_index(drop=True)
+        for i in np.flatnonzero(length < rows["length"].to_numpy()):
+            part = rows.at[i, "_ids"][4 * skip[i] : 4 * (skip[i] + length[i])]
+            rows.at[i, "_ids"], rows.at[i, "ids_crc32"] = part, zlib.crc32(part)
+        rows["start"], rows["length"], rows["sequence_id"] = rows["start"] + skip, length, window + (int(key[0]) << 32)
+        rows = rows.sort_values(["sequence_id", "length"], ascending=[True, False], kind="stable")
         rows["offset"] = rows.groupby("sequence_id")["length"].cumsum() - rows["length"]
+        if with_ids:
+            rows["ids"] = [np.frombuffer(x, "<u4").astype(np.int32) for x in rows["_ids"]]
         return rows[schema.fieldNames()]
 
     binned = found.withColumn("_bin", F.col("bin_key") % n_bins).drop("bin_key")

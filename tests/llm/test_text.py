@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as tok
@@ -418,8 +419,30 @@ def check_packing(rows, texts):
     return sum(ends.values()) / (1024 * len(ends))
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 64), st.booleans()), max_size=60))
+def test_level_fills_windows_to_capacity(pieces):
+    sizes, loose = [a for a, _ in pieces], [b for _, b in pieces]
+    window = packing.windows(sizes, 64, 0)
+    load, place = Counter(), Counter()
+    out = packing.level(sizes, window, loose, 64)
+    for i, start, length, w in sorted(out):
+        assert start == place[i] and length > 0
+        place[i] += length
+        load[w] += length
+    assert [place[i] for i in range(len(sizes))] == sizes
+    assert max(load.values(), default=0) <= 64 and len(load) <= max(1, -(-sum(sizes) // 64))
+
+
+def test_level_takes_from_loose_pieces_first():
+    assert sorted(packing.level([50, 20, 40], [0, 0, 1], [False, True, False], 64)) == [(0, 0, 50, 0), (1, 0, 14, 0), (1, 14, 6, 1), (2, 0, 40, 1)]
+
+
 def test_packing_query(spark, documents):
-    assert check_packing(queries.op9_packing(spark, SF).collect(), documents.text.to_dict()) > 0.98
+    rows = queries.op9_packing(spark, SF).collect()
+    assert check_packing(rows, documents.text.to_dict()) > 0.99
+    pieces = Counter(r["doc_id"] for r in rows if r["doc_tokens"] <= 1024)
+    assert sum(n > 1 for n in pieces.values()) < 0.1 * len(pieces)
 
 
 def test_packing_special_and_odd_rows(frame, odd, none):
