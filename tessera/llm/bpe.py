@@ -8,6 +8,9 @@ text from the last sure boundary is pre-tokenised again with a longer chunk, so
 does not look back and looks at most ``LOOK`` characters ahead of a pre-token that ends there.
 
 Then pieces are encoded; the ids of pieces that were met are remembered.
+
+The same holds between the segments of a huge text, which are rows of their own: any number of tasks encode them, each says how many ids it has at each boundary of
+its overlaps, and of two neighbours' boundaries the first in common tells how many ids of each to take.
 """
 
 from __future__ import annotations
@@ -23,10 +26,16 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.llm.common import cut, partitions
 
 #: Code points of a chunk and of its overlap with the next; look-ahead of the pattern; pieces whose ids are remembered.
 CHUNK, OVERLAP, LOOK, REMEMBERED = 2048, 96, 4, 300_000
+#: Code points of a segment of a huge text and of its overlap with the next.
+SEGMENT, SHARED = 1 << 16, 1 << 10
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -88,14 +97,32 @@ class Codec:
             self.tokens[rank] = token
         self.known: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        """Ids as unsigned 32-bit numbers of the machine's byte order."""
-        pieces, known = stitch(self.find, text), self.known
+    def _coded(self, pieces: list[str]) -> list[bytes]:
+        known = self.known
         if len(known) > REMEMBERED:
             known.clear()
         for piece in set(pieces).difference(known):
             known[piece] = array("I", self.merge(piece)).tobytes()
-        return b"".join(map(known.__getitem__, pieces))
+        return [known[piece] for piece in pieces]
+
+    def encode(self, text: str) -> bytes:
+        """Ids as unsigned 32-bit numbers of the machine's byte order."""
+        return b"".join(self._coded(stitch(self.find, text)))
+
+    def encode_segment(self, text: str, start: int, last: bool, shared: int) -> tuple[bytes, dict[int, int], dict[int, int]]:
+        """Ids of a segment that begins at ``start``, and the number of ids before each boundary of its two overlaps, by place.
+
+        What the text beyond the segment may move is left out.
+        """
+        pieces = stitch(self.find, text)
+        ends = list(accumulate(map(len, pieces)))
+        if not last:
+            keep = bisect_right(ends, len(text) - LOOK)
+            del pieces[keep:], ends[keep:]
+        coded = self._coded(pieces)
+        counts = dict(zip([0, *ends], accumulate((len(c) // 4 for c in coded), initial=0)))
+        head = {start + e: n for e, n in counts.items() if e <= shared}
+        return b"".join(coded), head, {} if last else {start + e: n for e, n in counts.items() if e >= len(text) - shared}
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -140,9 +167,7 @@ def encoder(path: str, pattern: str):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
         for texts in batches:
-            coded = [own.encode(t.as_py() or "") for t in texts]
-            offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(coded))]))
+            yield _id_arrays([own.encode(t.as_py() or "") for t in texts])
 
     return F.arrow_udf(encode, "array<int>")
 
@@ -156,3 +181,68 @@ def decoder(path: str, pattern: str):
             yield pa.array([own.decode(i.values.to_pylist()) if i.is_valid else b"" for i in ids], pa.binary())
 
     return F.arrow_udf(decode, "binary")
+
+
+def _id_arrays(coded: list[bytes]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(coded))]))
+
+
+def _segments(huge: DataFrame, segment: int, shared: int) -> DataFrame:
+    """``_rid, _k, _start, _last, _part`` of each segment, written; the first one of a text also has ``_row``. A text's segments lie in many files."""
+    schema = T.StructType([T.StructField("_row", huge.schema["_row"].dataType), *T.StructType.fromDDL("_rid string, _k int, _start long, _last boolean, _part string")])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text, rid = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                starts = range(0, len(text) - shared, segment - shared)
+                for k, start in enumerate(starts):
+                    row = batch.column(0).take(pa.array([i if k == 0 else None], pa.int64()))
+                    own = [[rid], [k], [start], [k == len(starts) - 1], [text[start : start + segment]]]
+                    yield pa.RecordBatch.from_arrays([row, *(pa.array(c, t) for c, t in zip(own, (pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.string())))], names=schema.fieldNames())
+
+    return cut(huge.mapInArrow(split, schema).repartition(partitions(huge.sparkSession), "_rid", "_k"))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids", segment: int = SEGMENT, shared: int = SHARED) -> DataFrame:
+    """The rows with the ids of their text as ``out`` (array<int>); many tasks encode the segments of a text longer than ``segment``.
+
+    Null and empty texts give an empty array; equal texts are encoded alike; rows that repeat, and rows with a null id, stay as they are; an empty table
+    gives no rows. An input column named ``out`` is replaced. A huge text whose neighbouring segments have no boundary in common (one pre-token fills their
+    overlap) is put together again and encoded in one row.
+    """
+    columns = [c for c in docs.columns if c != out]
+    is_huge = F.coalesce(F.char_length(F.col(f"`{text_col}`")), F.lit(0)) > segment
+    own = encoder(path, pattern)
+
+    def encode_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = codec(path, pattern)
+        for batch in batches:
+            starts, lasts, parts = (batch.column(i).to_pylist() for i in (3, 4, 5))
+            found = [known.encode_segment(part, start, last, shared) for start, last, part in zip(starts, lasts, parts)]
+            counts = [pa.array([list(f[i].items()) for f in found], pa.map_(pa.int64(), pa.int32())) for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _id_arrays([f[0] for f in found]), *counts], names=coded_schema.fieldNames())
+
+    others = [F.col(f"`{c}`") for c in columns]
+    # a row is known by its place in its partition, so a lost task must find its rows in the same order again, as a scan does
+    rid = F.monotonically_increasing_id().cast("string")
+    segments = _segments(docs.where(is_huge).select(F.struct(*others).alias("_row"), F.col(f"`{text_col}`").alias("_text"), rid.alias("_rid")), segment, shared)
+    coded_schema = T.StructType([*segments.schema.fields[:3], *T.StructType.fromDDL("_ids array<int>, _head map<bigint,int>, _tail map<bigint,int>")])
+    coded = cut(segments.mapInArrow(encode_parts, coded_schema))
+
+    of_text = Window.partitionBy("_rid").orderBy("_k")
+    meet = F.when(F.col("_k") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect(F.map_keys("_head"), F.map_keys(F.lag("_tail").over(of_text)))))
+    met = coded.withColumn("_meet", meet).withColumn("_next", F.lead("_meet").over(of_text)).withColumn("_is_last", F.lead("_k").over(of_text).isNull())
+    begin, until = F.element_at("_head", F.col("_meet")), F.when(F.col("_is_last"), F.size("_ids")).otherwise(F.element_at("_tail", F.col("_next")))
+    taken = F.when(F.col("_meet").isNotNull() & until.isNotNull(), F.slice("_ids", begin + 1, until - begin))
+    row = F.first("_row", ignorenulls=True).alias("_row")
+    whole = met.select("_rid", "_row", "_k", taken.alias("_ids")).groupBy("_rid").agg(row, F.array_sort(F.collect_list(F.struct("_k", "_ids"))).alias("_all"), F.bool_and(F.col("_ids").isNotNull()).alias("_ok"))
+    whole = cut(whole.select("_rid", "_row", "_ok", F.when(F.col("_ok"), F.flatten(F.transform("_all", lambda x: x["_ids"]))).alias("_ids")))
+
+    again = segments.join(whole.where("not _ok").select("_rid"), "_rid", "left_semi")
+    piece = F.when(F.col("_last"), F.col("_part")).otherwise(F.substring("_part", 1, segment - shared))
+    again = again.groupBy("_rid").agg(row, F.array_sort(F.collect_list(F.struct("_k", piece.alias("_part")))).alias("_all"))
+    again = again.select("_row", own(F.array_join(F.transform("_all", lambda x: x["_part"]), "")).alias("_ids"))
+    huge = whole.where("_ok").select("_row", "_ids").unionAll(again).select(*(F.col("_row")[c].alias(c) for c in columns), F.col("_ids").alias(out))
+    return docs.where(~is_huge).select(*others, own(text_col).alias(out)).unionAll(huge)

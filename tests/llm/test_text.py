@@ -210,6 +210,29 @@ def test_bpe_columns(odd, none):
     assert none.select(bpe.encoder(RANKS, tok.PATTERN)("text").alias("ids")).count() == 0
 
 
+def test_bpe_segments_of_huge_texts(spark, odd, none):
+    rng = random.Random(8)
+    alphabet = ["a", "B", "é", "日", "1", " ", "  ", "\n", " \n ", "'s", "'", "!", "the", " word"]
+    texts = ["".join(rng.choices(alphabet, k=k)) for k in (0, 20, 60, 61, 64, 500, 5000)] + ["x" * 300, "ab " * 50 + " " * 200 + "cd" * 40, None, "y" * 70 + " the word" * 40]
+    docs = spark.createDataFrame([(i, t, {"a": i}) for i, t in enumerate(texts)] * 2 + [(None, "the " * 100, None)], "doc_id long, text string, ids map<string,long>")
+    extra = docs.withColumnRenamed("ids", "more")
+    for segment, shared in ((64, 16), (50, 12)):
+        rows = bpe.encode(extra, RANKS, tok.PATTERN, segment=segment, shared=shared).collect()
+        assert len(rows) == 2 * len(texts) + 1
+        for r in rows:
+            assert r["ids"] == _library.encode_ordinary(r["text"] or "") and (r["doc_id"] is None or r["more"] == {"a": r["doc_id"]})
+    assert bpe.encode(docs, RANKS, tok.PATTERN).columns == ["doc_id", "text", "ids"]
+    out = bpe.encode(odd, RANKS, tok.PATTERN, segment=1000, shared=100)
+    assert out.columns == [*odd.columns, "ids"] and all(r["ids"] == _library.encode_ordinary(r["text"] or "") for r in out.collect())
+    assert bpe.encode(none, RANKS, tok.PATTERN).count() == 0
+
+
+def test_bpe_one_giant_text_takes_many_tasks(spark, frame):
+    text = "".join(f"word{i} is here, and\n  so on " for i in range(40_000))
+    assert bpe._segments(frame([text]).selectExpr("struct(doc_id) _row", "text _text", "'0' _rid"), bpe.SEGMENT, bpe.SHARED).selectExpr("input_file_name() f").distinct().count() > 1
+    assert bpe.encode(frame([text]), RANKS, tok.PATTERN).collect()[0]["ids"] == _library.encode_ordinary(text)
+
+
 def test_bpe_query(spark, documents):
     for r in queries.op3_bpe(spark, SF).collect():
         text = documents.text[r["doc_id"]]
