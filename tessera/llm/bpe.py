@@ -32,8 +32,10 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import cut, partitions
 
-#: Code points of a chunk and of its overlap with the next; look-ahead of the pattern; pieces whose ids are remembered.
-CHUNK, OVERLAP, LOOK, REMEMBERED = 2048, 96, 4, 300_000
+#: Code points of a chunk and of its overlap with the next; look-ahead of the pattern; pieces whose ids are remembered, and code points of the longest of them.
+CHUNK, OVERLAP, LOOK, REMEMBERED, LONGEST = 2048, 96, 4, 150_000, 64
+#: Rows whose ids are held at once.
+ROWS = 512
 #: Code points of a segment of a huge text and of its overlap with the next.
 SEGMENT, SHARED = 1 << 16, 1 << 10
 
@@ -101,9 +103,10 @@ class Codec:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
+        long: dict[str, bytes] = {}
         for piece in set(pieces).difference(known):
-            known[piece] = array("I", self.merge(piece)).tobytes()
-        return [known[piece] for piece in pieces]
+            (known if len(piece) <= LONGEST else long)[piece] = array("I", self.merge(piece)).tobytes()
+        return [long[p] if p in long else known[p] for p in pieces] if long else list(map(known.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
         """Ids as unsigned 32-bit numbers of the machine's byte order."""
@@ -178,7 +181,7 @@ def decoder(path: str, pattern: str):
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
         for ids in batches:
-            yield pa.array([own.decode(i.values.to_pylist()) if i.is_valid else b"" for i in ids], pa.binary())
+            yield _texts_of(own, ids)
 
     return F.arrow_udf(decode, "binary")
 
@@ -188,6 +191,10 @@ def _id_arrays(coded: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(coded))]))
 
 
+def _texts_of(own: Codec, ids: pa.Array) -> pa.Array:
+    return pa.array([own.decode(i.values.to_pylist()) if i.is_valid else b"" for i in ids], pa.binary())
+
+
 def _segments(huge: DataFrame, segment: int, shared: int) -> DataFrame:
     """``_rid, _k, _start, _last, _part`` of each segment, written; the first one of a text also has ``_row``. A text's segments lie in many files."""
     schema = T.StructType([T.StructField("_row", huge.schema["_row"].dataType), *T.StructType.fromDDL("_rid string, _k int, _start long, _last boolean, _part string")])
@@ -205,16 +212,23 @@ def _segments(huge: DataFrame, segment: int, shared: int) -> DataFrame:
     return cut(huge.mapInArrow(split, schema).repartition(partitions(huge.sparkSession), "_rid", "_k"))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids", segment: int = SEGMENT, shared: int = SHARED) -> DataFrame:
-    """The rows with the ids of their text as ``out`` (array<int>); many tasks encode the segments of a text longer than ``segment``.
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids", decoded: str | None = None, keep_text: bool = True, segment: int = SEGMENT, shared: int = SHARED) -> DataFrame:
+    """The rows with the ids of their text as ``out`` (array<int>), and as ``decoded``, if named, the bytes those ids stand for.
 
-    Null and empty texts give an empty array; equal texts are encoded alike; rows that repeat, and rows with a null id, stay as they are; an empty table
-    gives no rows. An input column named ``out`` is replaced. A huge text whose neighbouring segments have no boundary in common (one pre-token fills their
+    Many tasks encode the segments of a text longer than ``segment``. Null and empty texts give an empty array; equal texts are encoded alike; rows that repeat, and rows with a null id, stay as they are; an empty table
+    gives no rows. Input columns named ``out`` or ``decoded`` are replaced. A huge text whose neighbouring segments have no boundary in common (one pre-token fills their
     overlap) is put together again and encoded in one row.
     """
-    columns = [c for c in docs.columns if c != out]
+    kept = [f for f in docs.schema if f.name not in (out, decoded) and (keep_text or f.name != text_col)]
     is_huge = F.coalesce(F.char_length(F.col(f"`{text_col}`")), F.lit(0)) > segment
-    own = encoder(path, pattern)
+    schema = T.StructType(kept + [T.StructField(out, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.BinaryType())] if decoded else []))
+
+    def encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = codec(path, pattern)
+        for batch in batches:
+            for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+                ids = _id_arrays([known.encode(t.as_py() or "") for t in part.column(len(kept))])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], ids] + ([_texts_of(known, ids)] if decoded else []), names=schema.fieldNames())
 
     def encode_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(path, pattern)
@@ -224,10 +238,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
             counts = [pa.array([list(f[i].items()) for f in found], pa.map_(pa.int64(), pa.int32())) for i in (1, 2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], _id_arrays([f[0] for f in found]), *counts], names=coded_schema.fieldNames())
 
-    others = [F.col(f"`{c}`") for c in columns]
+    others = [F.col(f"`{f.name}`") for f in kept]
+    text = F.col(f"`{text_col}`").alias("_text")
     # a row is known by its place in its partition, so a lost task must find its rows in the same order again, as a scan does
     rid = F.monotonically_increasing_id().cast("string")
-    segments = _segments(docs.where(is_huge).select(F.struct(*others).alias("_row"), F.col(f"`{text_col}`").alias("_text"), rid.alias("_rid")), segment, shared)
+    segments = _segments(docs.where(is_huge).select(F.struct(*others).alias("_row"), text, rid.alias("_rid")), segment, shared)
     coded_schema = T.StructType([*segments.schema.fields[:3], *T.StructType.fromDDL("_ids array<int>, _head map<bigint,int>, _tail map<bigint,int>")])
     coded = cut(segments.mapInArrow(encode_parts, coded_schema))
 
@@ -243,6 +258,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
     again = segments.join(whole.where("not _ok").select("_rid"), "_rid", "left_semi")
     piece = F.when(F.col("_last"), F.col("_part")).otherwise(F.substring("_part", 1, segment - shared))
     again = again.groupBy("_rid").agg(row, F.array_sort(F.collect_list(F.struct("_k", piece.alias("_part")))).alias("_all"))
-    again = again.select("_row", own(F.array_join(F.transform("_all", lambda x: x["_part"]), "")).alias("_ids"))
-    huge = whole.where("_ok").select("_row", "_ids").unionAll(again).select(*(F.col("_row")[c].alias(c) for c in columns), F.col("_ids").alias(out))
-    return docs.where(~is_huge).select(*others, own(text_col).alias(out)).unionAll(huge)
+    again = again.select("_row", encoder(path, pattern)(F.array_join(F.transform("_all", lambda x: x["_part"]), "")).alias("_ids"))
+    huge = whole.where("_ok").select("_row", "_ids").unionAll(again).select(*(F.col("_row")[f.name].alias(f.name) for f in kept), F.col("_ids").alias(out))
+    if decoded:
+        huge = huge.withColumn(decoded, decoder(path, pattern)(out))
+    return docs.where(~is_huge).select(*others, text).mapInArrow(encode_rows, schema).unionAll(huge)

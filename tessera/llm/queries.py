@@ -24,8 +24,7 @@ def op2_mixing(spark: SparkSession, d: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, d: str) -> DataFrame:
     files = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.encode(documents(spark, d).select("doc_id", "text"), *files)
-    coded = coded.select("doc_id", "ids", bpe.decoder(*files)("ids").alias("decoded"))
+    coded = bpe.encode(documents(spark, d).select("doc_id", "text"), *files, decoded="decoded", keep_text=False)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -217,11 +217,13 @@ def test_bpe_segments_of_huge_texts(spark, odd, none):
     docs = spark.createDataFrame([(i, t, {"a": i}) for i, t in enumerate(texts)] * 2 + [(None, "the " * 100, None)], "doc_id long, text string, ids map<string,long>")
     extra = docs.withColumnRenamed("ids", "more")
     for segment, shared in ((64, 16), (50, 12)):
-        rows = bpe.encode(extra, RANKS, tok.PATTERN, segment=segment, shared=shared).collect()
+        rows = bpe.encode(extra, RANKS, tok.PATTERN, decoded="back", segment=segment, shared=shared).collect()
         assert len(rows) == 2 * len(texts) + 1
         for r in rows:
+            assert bytes(r["back"]) == (r["text"] or "").encode()
             assert r["ids"] == _library.encode_ordinary(r["text"] or "") and (r["doc_id"] is None or r["more"] == {"a": r["doc_id"]})
     assert bpe.encode(docs, RANKS, tok.PATTERN).columns == ["doc_id", "text", "ids"]
+    assert bpe.encode(docs, RANKS, tok.PATTERN, keep_text=False).columns == ["doc_id", "ids"]
     out = bpe.encode(odd, RANKS, tok.PATTERN, segment=1000, shared=100)
     assert out.columns == [*odd.columns, "ids"] and all(r["ids"] == _library.encode_ordinary(r["text"] or "") for r in out.collect())
     assert bpe.encode(none, RANKS, tok.PATTERN).count() == 0
