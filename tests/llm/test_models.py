@@ -1,5 +1,7 @@
 """Language-model scores, toxicity, the pipeline and the registry."""
 
+import math
+import re
 import zlib
 from collections import Counter
 
@@ -193,6 +195,44 @@ def test_mixing_odd_rows(odd, none):
 # toxicity
 
 
+def slow_toxicity(model, text):
+    """The score by the letter: every passage of words, every word's n-grams, one after another."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode())
+    if not words:
+        return 0.0
+
+    def value(word):
+        own, data = [], b" " + word + b" "
+        for n in toxicity.SIZES:
+            for i in range(len(data) - n + 1):
+                code = data[i]
+                for b in data[i + 1 : i + n]:
+                    code = (code * 0x01000193 % 2**32) ^ b
+                code = (code + n) * 0x9E3779B1 % 2**32
+                own.append(float(model.value[(code ^ (code >> 15)) % toxicity.BUCKETS]))
+        return sum(own) / max(1, len(own))
+
+    last = max(len(words) - toxicity.PASSAGE, 0)
+    tops = []
+    for at in [*range(0, last, toxicity.STRIDE), last]:
+        known = set(words[at : at + toxicity.PASSAGE])
+        tops.append(sum(map(value, known)) / len(known))
+    return 1 / (1 + math.exp(-(model.slope * (max(tops) + model.bias) + model.shift)))
+
+
+def test_toxicity_scores_equal_a_slow_scorer(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS).astype(np.float32), 0.25, 1.5, -0.5)
+    texts = spark.read.parquet(f"{SF}/documents.parquet").where("char_length(text) < 6000").limit(60).toPandas()["text"].tolist()
+    words = ["a", "Bad", "it", "ÉTÉ", "日本", "x" * 40, "don't", "bad,"]
+    texts += [" ".join(rng.choice(words, n)) for n in (1, 2, 8, 15, 16, 17, 23, 24, 25, 200)] + [None, "", " \n\t ", "a", " lead and\ttrail\r\n", "word " * 100]
+    expected = [slow_toxicity(model, t) for t in texts]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("score", toxicity.scorer(model)("text")).orderBy("i").collect()
+    assert [r["score"] for r in got] == pytest.approx(expected, rel=1e-6)
+    monkeypatch.setattr(toxicity, "BATCH", 64)  # texts longer than a batch of bytes
+    assert [model.score(t) for t in texts] == pytest.approx(expected, rel=1e-6)
+
+
 def test_grams_stay_inside_words():
     data = toxicity.normal("Ab cde\nfghij Ab")
     assert data == b" ab cde fghij "
