@@ -116,6 +116,19 @@ def test_a_single_decision_by_hand():
         assert (c - before).tolist() == np.bincount(2 * s + bit, minlength=len(c)).tolist()
 
 
+def test_weights_and_map_learn_from_every_decision():
+    """Steps and letters of one batch fill several slices; what weights and map took in is what the counts took in."""
+    rng = np.random.default_rng(6)
+    often = [b"w%d" % i for i in range(20_000)]
+    text = b" ".join([*often, *often, *(bytes(rng.integers(97, 123, 9).astype(np.uint8)) for _ in range(9000))])
+    code = mixing.Code(often, [2] * len(often), 9000)
+    model = mixing.Model(code)
+    model.learn(mixing.Tokens([text], code, True))
+    for layer in (model.steps, model.letters):
+        assert layer.n == layer.count[0].sum() > 100_000
+        assert layer.map.sum() == pytest.approx(layer.n, rel=1e-4)
+
+
 def test_huffman_codes():
     """No code is the beginning of another, and they are as short as the entropy allows."""
     weights = np.array([50, 20, 10, 10, 5, 3, 1, 1])
