@@ -46,6 +46,9 @@ BUCKETS, LIMIT, BINS, PRIOR, RATE, STEP = 16, 12.0, 33, 0.4, 0.2, 8192
 BLOCK, FAN, HELD = 1 << 16, 32, 400_000
 
 _u = np.uint64
+#: Longer words are hashed and compared one by one.
+LONG = 64
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _START, _M1, _M2 = 0x9E3779B97F4A7C15, _u(0xBF58476D1CE4E5B9), _u(0x94D049BB133111EB)
 
 
@@ -106,11 +109,81 @@ def huffman(weights, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.nda
     return bits, size, np.cumsum(inner) - inner - (2 ** np.arange(longest + 1) - inner)
 
 
-class _Numbers(dict):
-    other = -1
+def _windows(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number; the last seven places have none."""
+    return np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,))
 
-    def __missing__(self, word: bytes) -> int:
-        return self.other
+
+def _joined(words: list[bytes]) -> np.ndarray:
+    """Between spaces, with room for a window at any place."""
+    return np.frombuffer(b" " + b" ".join(words) + b" " + bytes(8), np.uint8)
+
+
+class Words:
+    """A table of distinct words: finds the numbers of many words at once by hashes, probing from slot to slot, and compares all their bytes."""
+
+    def __init__(self, words: list[bytes]):
+        self.data, self.size = _joined(words), np.fromiter(map(len, words), np.int64, len(words))
+        self.start = 1 + np.cumsum(self.size + 1) - (self.size + 1)
+        self.long = {w: i for i, w in enumerate(words) if len(w) > LONG}
+        self.head = self._part(self.data, self.start, self.size, 0)
+        self.bits = max(4, (4 * len(words)).bit_length())
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        at = np.flatnonzero(self.size <= LONG)
+        slot = self._slot(self.hashes(self.data, self.start, self.size)[at])
+        while len(at):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = at[free]
+            left = self.table[slot] != at
+            at, slot = at[left], (slot[left] + 1) & (len(self.table) - 1)
+
+    @staticmethod
+    def _part(data: np.ndarray, start: np.ndarray, size: np.ndarray, i: int) -> np.ndarray:
+        """The bytes from 8 * i on, eight at most, as a number."""
+        return _windows(data)[start + 8 * i] & _MASK.take(np.minimum(size - 8 * i, 8))
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> _u(64 - self.bits)).astype(np.int64)
+
+    @classmethod
+    def hashes(cls, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        h = _mix((cls._part(data, start, np.minimum(size, LONG), 0) + size.astype(np.uint64) * _u(_START)) * _M1)
+        at = np.flatnonzero((size > 8) & (size <= LONG))
+        for i in range(1, LONG // 8):
+            if not len(at):
+                break
+            h[at] = _mix((h[at] ^ cls._part(data, start[at], size[at], i)) * _M2)
+            at = at[size[at] > 8 * (i + 1)]
+        for i in np.flatnonzero(size > LONG).tolist():
+            h[i] = xxhash.xxh64_intdigest(data[start[i] : start[i] + size[i]].data)
+        return h
+
+    def find(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Numbers of words, by their ``hashes``; for others, how many words the table has."""
+        out = np.full(len(start), len(self.size), np.int32)
+        head = self._part(data, start, size, 0)
+        at, slot = None, self._slot(h)
+        while True:
+            found = self.table.take(slot)
+            here = np.flatnonzero(found >= 0)
+            found, slot = found.take(here), slot.take(here)
+            at = here if at is None else at.take(here)
+            if not len(at):
+                break
+            same = (self.head.take(found) == head.take(at)) & (self.size.take(found) == size.take(at))
+            more = np.flatnonzero(same & (size.take(at) > 8))
+            for i in range(1, LONG // 8):
+                if not len(more):
+                    break
+                a, b, n = at[more], found[more], size[at[more]]
+                equal = self._part(data, start[a], n, i) == self._part(self.data, self.start[b], n, i)
+                same[more[~equal]] = False
+                more = more[equal & (n > 8 * (i + 1))]
+            out[at[same]] = found[same]
+            at, slot = at[~same], (slot[~same] + 1) & (len(self.table) - 1)
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = self.long.get(data[start[i] : start[i] + size[i]].tobytes(), len(self.size))
+        return out
 
 
 class Code:
@@ -142,15 +215,11 @@ class Code:
     def __setstate__(self, state: dict):
         self.__dict__ = state | {"words": state["words"].split(b" ") if state["escape"] else []}
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        if not hasattr(self, "_number"):
-            self._number = _Numbers({w: i for i, w in enumerate(self.words)})
-            self._number.other = self.escape
-            self._hash = np.append(np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words)), _u(0))
-        return np.fromiter(map(self._number.__getitem__, words), np.int32, len(words))
-
-    def hashes(self, numbers: np.ndarray) -> np.ndarray:
-        return self._hash.take(numbers)
+    @property
+    def table(self) -> Words:
+        if not hasattr(self, "_table"):
+            self._table = Words(self.words)
+        return self._table
 
 
 def _steps(code: tuple[np.ndarray, np.ndarray, np.ndarray], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,18 +236,17 @@ class Tokens:
     """The words of some texts and an end each, with their contexts."""
 
     def __init__(self, texts: list[bytes], code: Code, learn: bool = False, ends: list[bool] | None = None):
-        self.words, sizes = [], []
-        for i, text in enumerate(texts):
-            words = text.split()
-            if ends is None or ends[i]:
-                words.append(b"")
-            self.words += words
-            sizes.append(len(words))
-        self.sizes, n = np.array(sizes, np.int64), len(self.words)
-        self.known = code.numbers(self.words)
-        h = code.hashes(self.known)
-        unknown = np.flatnonzero(self.known == code.escape)
-        h[unknown] = np.fromiter((xxhash.xxh64_intdigest(self.words[i]) for i in unknown.tolist()), np.uint64, len(unknown))
+        self.data = _joined(texts)
+        stops = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))  # the space after each text
+        space = (self.data[:-8] == 32) | (self.data[:-8] - np.uint8(9) < 5)
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        start, size = edges[::2], edges[1::2] - edges[::2]
+        until = np.searchsorted(start, stops)
+        ended = np.ones(len(texts), bool) if ends is None else np.array(ends, bool)
+        self.start, self.size = np.insert(start, until[ended], stops[ended]), np.insert(size, until[ended], 0)
+        self.sizes, n = np.diff(until, prepend=0) + ended, len(self.start)
+        h = Words.hashes(self.data, self.start, self.size)
+        self.known = code.table.find(self.data, self.start, self.size, h)
         self.id = np.where(self.known >= code.sure, code.escape, self.known) if learn else self.known
         self.starts = np.cumsum(self.sizes) - self.sizes
         first = self.starts[self.sizes > 0]
@@ -188,6 +256,17 @@ class Tokens:
         self.cls = np.where(at >= np.repeat(self.starts, self.sizes), self.known.take(np.maximum(at, 0)), COMMON).astype(np.int64) if n else np.zeros(0, np.int64)
         self.first = first
 
+    def word(self, i: int) -> bytes:
+        return self.data[self.start[i] : self.start[i] + self.size[i]].tobytes()
+
+    def spelled(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of some words, each with a space at its end, and how many those are."""
+        sizes = self.size[at] + 1
+        ends = np.cumsum(sizes)
+        data = self.data.take(np.arange(ends[-1]) + np.repeat(self.start[at] - ends + sizes, sizes))
+        data[ends - 1] = 32
+        return data, sizes
+
     @staticmethod
     def _before(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         one = np.concatenate([[_u(_START)], h[:-1]])[: len(h)]
@@ -288,7 +367,8 @@ class Layer:
     def _place(self, z: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = (z + np.float32(LIMIT)) * np.float32((BINS - 1) / (2 * LIMIT))
         low = np.minimum(at.astype(np.int64), BINS - 2)
-        return row * BINS + low, at - low
+        at -= low.astype(np.float32)
+        return row * BINS + low, at
 
     def score(self, slots: list[np.ndarray], gate: np.ndarray, row: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """log10 probability of each answer: the mean of the mixed probability and of what came true near it."""
@@ -300,16 +380,20 @@ class Layer:
 
     def learn(self, slots: list[np.ndarray], gate: np.ndarray, row: np.ndarray, bit: np.ndarray, times: np.ndarray | None = None) -> None:
         """Predict from what was settled, step by step; correct weights and map; count. ``times``: how often each decision occurred."""
+        values = np.ones((len(slots) + 1, STEP), np.float32)  # the last is the bias
         for a in range(0, len(bit), STEP):
             part = slice(a, a + STEP)
-            x, g, y, t = [s.take(at[part]) for s, at in zip(self.stretched, slots)], gate[part], bit[part], None if times is None else times[part]
-            z = self.mixed(x, g)
-            error = y - squash(z)
+            g, y, t = gate[part], bit[part], None if times is None else times[part]
+            x = values[:, : len(g)]
+            for v, s, at in zip(x, self.stretched, slots):
+                s.take(at[part], out=v, mode="clip")
+            z = self.mixed(x[:-1], g)
+            error = y.astype(np.float32) - squash(z)
             if t is not None:
                 error *= t
             size = np.sqrt(np.maximum(np.bincount(g, weights=t, minlength=self.gates), 1))
-            for i, v in enumerate([*x, None]):
-                slope = np.bincount(g, weights=error if v is None else error * v, minlength=self.gates) / size
+            for i, v in enumerate(x):
+                slope = np.bincount(g, weights=error * v, minlength=self.gates) / size
                 self.seen[i] += slope * slope
                 self.w[i] += (RATE * slope / np.sqrt(self.seen[i])).astype(np.float32)
             at, high = self._place(z, row[part])
@@ -403,11 +487,11 @@ class Model:
         out[at[back]] += cost[which]
 
     def _spell(self, t: Tokens, at: np.ndarray, out: np.ndarray, learn: bool) -> None:
-        sizes = np.fromiter((len(t.words[i]) + 1 for i in at.tolist()), np.int64, len(at))
+        sizes = t.size[at] + 1
         for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(sizes) >> 15)) + 1):  # about 32 KB at a time
             if not len(part):
                 continue
-            owner, slots, bit = self._letters([t.words[i] for i in at[part].tolist()], sizes[part], t.one[at[part]])
+            owner, slots, bit = self._letters(*t.spelled(at[part]), t.one[at[part]])
             level = self.letters.levels(3, slots[3])
             gate = level * 4 + np.minimum(self.letters.levels(4, slots[4]), 3)
             if learn:
@@ -415,11 +499,10 @@ class Model:
             else:
                 out[at[part]] += np.bincount(owner, weights=self.letters.score(slots, gate, level, bit), minlength=len(part))
 
-    def _letters(self, words: list[bytes], sizes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    def _letters(self, data: np.ndarray, sizes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """Contexts: the last one to four letters of the word; its beginning and the word before."""
-        data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
         starts = np.cumsum(sizes) - sizes
-        word = np.repeat(np.arange(len(words)), sizes)
+        word = np.repeat(np.arange(len(sizes)), sizes)
         depth = np.arange(len(data)) - starts[word]
         last = []
         for n in (1, 2, 3, 4):
@@ -633,8 +716,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
             bases = np.where(unknown, 0, base.take(t.known))
             ends, out = (t.starts + t.sizes).tolist(), [[] for _ in range(9)]
             for (text, last, doc_id, held), a, b in zip(group, t.starts.tolist(), ends):
-                rare = [xxhash.xxh64_intdigest(t.words[i], 42) for i in (a + np.flatnonzero(unknown[a:b])).tolist()]
-                now = [b - a, sum(map(len, t.words[a:b])) + b - a, b - a - len(rare), float(bases[a:b].sum()), float(scores[a:b].sum()), rare]
+                rare = [xxhash.xxh64_intdigest(t.word(i), 42) for i in (a + np.flatnonzero(unknown[a:b])).tolist()]
+                now = [b - a, int(t.size[a:b].sum()) + b - a, b - a - len(rare), float(bases[a:b].sum()), float(scores[a:b].sum()), rare]
                 open_ = [x + y for x, y in zip(open_, now)] if open_ else now
                 if last:
                     for column, value in zip(out, ((part << 33) + number, doc_id, held, *open_)):

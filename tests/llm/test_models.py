@@ -129,6 +129,22 @@ def test_weights_and_map_learn_from_every_decision():
         assert layer.map.sum() == pytest.approx(layer.n, rel=1e-4)
 
 
+def test_words_are_found_by_all_their_bytes(monkeypatch):
+    """Against a dictionary: equal beginnings, zeros, long words, the empty one; also where all hashes collide."""
+    rng = np.random.default_rng(7)
+    pool = [b"", b"\0", b"\0\0", b"a", b"a\0", *(bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in range(1, 20) for _ in range(9))]
+    pool += [b"abcdefgh" * n + end for n in range(1, 10) for end in (b"", b"i", b"j", b"\xff")] + [b"x" * 70, b"x" * 71, b"y" * 3000]
+    pool = list(dict.fromkeys(pool))
+    known, texts = pool[::2], [b"\t ".join(pool), b"", b"\n" + b"\x0b".join(pool[::-1]) + b"\r\x0c "]
+    for _ in range(2):
+        code = mixing.Code(known, [2] * len(known), 5)
+        t = mixing.Tokens(texts, code)
+        words = [w for text in texts for w in (*text.split(), b"")]
+        assert [t.word(i) for i in range(len(words))] == words and t.sizes.tolist() == [len(text.split()) + 1 for text in texts]
+        assert t.known.tolist() == [known.index(w) if w in known else code.escape for w in words]
+        monkeypatch.setattr(mixing.Words, "hashes", classmethod(lambda cls, data, start, size: np.zeros(len(start), np.uint64)))
+
+
 def test_huffman_codes():
     """No code is the beginning of another, and they are as short as the entropy allows."""
     weights = np.array([50, 20, 10, 10, 5, 3, 1, 1])
