@@ -598,6 +598,9 @@ def add_blocks(kind: str, parts: list[bytes]) -> bytes:
     return _pack(**first)
 
 
+_SPACES = b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"
+
+
 def batches_of(texts: Iterator[tuple], size: int, most: int = BATCH) -> Iterator[list[tuple]]:
     """Groups of (text, whether it ends there, ...) of about so many bytes, at first ``size``, then twice as many each time up to ``most``; longer texts come in pieces."""
     group, held = [], 0
@@ -606,7 +609,7 @@ def batches_of(texts: Iterator[tuple], size: int, most: int = BATCH) -> Iterator
         while at < len(text) or at == 0:
             end = len(text)
             if end - at > most:
-                end = text.rfind(b" ", at, at + most) + 1 or at + most
+                end = max(text.rfind(c, at, at + most) for c in _SPACES) + 1 or at + most
             group.append((text[at:end], end == len(text), *rest))
             held, at = held + end - at, max(end, 1)
             if held >= size:

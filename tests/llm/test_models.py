@@ -205,6 +205,13 @@ def test_batches_hold_whole_texts():
     assert all(p.endswith(b" ") for p, end, i in pieces if i == 0 and not end)
 
 
+@pytest.mark.parametrize("space", [b" ", b"\n", b"\t", b"\x0b", b"\x0c", b"\r"])
+def test_cuts_of_long_texts_keep_words_whole(space):
+    text = space.join(b"word%d" % i for i in range(100))
+    pieces = [p for g in mixing.batches_of(iter([(text,)]), 64, 64) for p, _ in g]
+    assert len(pieces) > 5 and b"".join(pieces) == text and [w for p in pieces for w in p.split()] == text.split()
+
+
 def test_held_out_texts_cost_less_than_by_single_words(spark):
     out = queries.op2_mixing(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) as s", "sum(base_score) as b").first()
     assert out["s"] > 0.95 * out["b"]
