@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import ctypes
 import pickle
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -63,7 +62,7 @@ def _slots(bits: int, *parts: np.ndarray) -> np.ndarray:
     for p in parts:
         h = (h ^ p.astype(np.uint64)) * _M1
         h ^= h >> _u(32)
-    return ((h * _M2) >> _u(64 - bits)).astype(np.int64)
+    return ((h * _M2) >> _u(64 - bits)).view(np.int64)
 
 
 def _give_back() -> None:
@@ -202,6 +201,9 @@ class Code:
         rank = np.empty(len(words) + 1, np.int64)
         rank[[*sorted(range(len(words)), key=words.__getitem__), len(words)]] = np.arange(len(words) + 1)
         self.steps = huffman([*np.where(n > 1, n, worth), max(rest + once, 1)], rank)
+        bits, size, _ = self.steps
+        self.order = np.argsort(bits << (size.max() - size))  # symbols by their codes from left to right
+        self.place = np.argsort(self.order)
         data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.int64)
         pairs = np.bincount(data[:-1] * 256 + data[1:], minlength=65536).reshape(256, 256)
         order = np.argsort(-pairs, axis=1, kind="stable")
@@ -232,6 +234,29 @@ def _steps(code: tuple[np.ndarray, np.ndarray, np.ndarray], symbols: np.ndarray)
     return owner, (rest >> 1) + shift.take(depth), rest & 1
 
 
+def _nodes(code: tuple[np.ndarray, np.ndarray, np.ndarray], symbols: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The steps of distinct symbols that are sorted by group, then by code, depth by depth.
+
+    Places of the symbols that have this step; where in those the run of each answer of each node begins and the answer; where in the answers
+    each node begins and its number.
+    """
+    bits, size, shift = code
+    bits, size = bits.take(symbols), size.take(symbols)
+    longest = int(size.max(initial=0))
+    at, way = np.arange(len(symbols)), group << longest | bits << (longest - size)
+    size = size.astype(np.int8)
+    for depth in range(longest):
+        on = np.flatnonzero(size > depth)
+        if len(on) < len(at):
+            at, way, size = at.take(on), way.take(on), size.take(on)
+        rest = way >> (longest - 1 - depth)
+        runs = np.flatnonzero(np.append(True, rest[1:] != rest[:-1]))
+        rest = rest.take(runs)
+        node = rest >> 1
+        heads = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        yield at, runs, rest & 1, heads, (node.take(heads) & ((1 << depth) - 1)) + shift[depth]
+
+
 class Tokens:
     """The words of some texts and an end each, with their contexts."""
 
@@ -370,42 +395,48 @@ class Layer:
         at -= low.astype(np.float32)
         return row * BINS + low, at
 
-    def score(self, slots: list[np.ndarray], gate: np.ndarray, row: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        """log10 probability of each answer: the mean of the mixed probability and of what came true near it."""
+    def chance(self, slots: list[np.ndarray], gate: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Probability of a one: the mean of the mixed probability and of what came true near it."""
         z = self.mixed([t.take(s) for t, s in zip(self.stretched, slots)], gate)
         at, part = self._place(z, row)
         low = self.refined.take(at)
         p = (squash(z) + low + (self.refined.take(at + 1) - low) * part) * np.float32(0.5)
-        return np.log10(np.abs(np.clip(p, 1e-7, 1 - 1e-7) - (1 - bit)))
+        return np.clip(p, 1e-7, 1 - 1e-7)
+
+    def score(self, slots: list[np.ndarray], gate: np.ndarray, row: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """log10 probability of each answer."""
+        return np.log10(np.abs(self.chance(slots, gate, row) - (1 - bit)))
 
-    def learn(self, slots: list[np.ndarray], gate: np.ndarray, row: np.ndarray, bit: np.ndarray, times: np.ndarray | None = None) -> None:
-        """Predict from what was settled, step by step; correct weights and map; count. ``times``: how often each decision occurred."""
+    def learn(self, slots: list[np.ndarray], gate: np.ndarray, row: np.ndarray, bit: np.ndarray, zeros: np.ndarray | None = None) -> None:
+        """Predict from what was settled, step by step; correct weights and map; count. With ``zeros``, equal decisions are given once, with how often a one (``bit``) and a zero came."""
         values = np.ones((len(slots) + 1, STEP), np.float32)  # the last is the bias
         for a in range(0, len(bit), STEP):
             part = slice(a, a + STEP)
-            g, y, t = gate[part], bit[part], None if times is None else times[part]
+            g, y, none = gate[part], bit[part], None if zeros is None else zeros[part]
+            times = None if none is None else y + none
             x = values[:, : len(g)]
             for v, s, at in zip(x, self.stretched, slots):
                 s.take(at[part], out=v, mode="clip")
             z = self.mixed(x[:-1], g)
-            error = y.astype(np.float32) - squash(z)
-            if t is not None:
-                error *= t
-            size = np.sqrt(np.maximum(np.bincount(g, weights=t, minlength=self.gates), 1))
+            error = y.astype(np.float32) - (squash(z) if times is None else squash(z) * times.astype(np.float32))
+            size = np.sqrt(np.maximum(np.bincount(g, weights=times, minlength=self.gates), 1))
             for i, v in enumerate(x):
                 slope = np.bincount(g, weights=error * v, minlength=self.gates) / size
                 self.seen[i] += slope * slope
                 self.w[i] += (RATE * slope / np.sqrt(self.seen[i])).astype(np.float32)
             at, high = self._place(z, row[part])
-            low = 1 - high
-            if t is not None:
-                low, high = low * t, high * t
-            at = at * 2 + y
-            self.map += np.bincount(at, weights=low, minlength=len(self.map)) + np.bincount(at + 2, weights=high, minlength=len(self.map))
-        self.n += len(bit) if times is None else int(times.sum())
-        whole = np.int32(1) if times is None else times.astype(np.int32)
+            low, bins = 1 - high, len(self.map) // 2
+            if times is None:
+                at = at * 2 + y
+                self.map += np.bincount(at, weights=low, minlength=2 * bins) + np.bincount(at + 2, weights=high, minlength=2 * bins)
+            else:
+                for answer, n in enumerate((none, y)):
+                    self.map[answer::2] += np.bincount(at, weights=low * n, minlength=bins) + np.bincount(at + 1, weights=high * n, minlength=bins)
+        self.n += len(bit) if zeros is None else int(bit.sum() + zeros.sum())
+        # both counts of a slot are one number for one access
+        both = np.left_shift(np.int64(1), 32 * bit) if zeros is None else (bit << 32) + zeros
         for c, s in zip(self.count, slots):
-            np.add.at(c, s * 2 + bit, whole)
+            np.add.at(c.view("<i8"), s, both)
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -462,30 +493,44 @@ class Model:
         return out
 
     def _code(self, t: Tokens, at: np.ndarray, out: np.ndarray, learn: bool) -> None:
-        """Steps of codes depend on the word and the last common word, so each such pair is done once."""
+        """Steps of codes depend on the word and the last common word, so each such pair is done once, and so is each node that the pairs of a common word share."""
         if not len(at):
             return
-        key = ((t.id[at].astype(np.uint64) * _u(COMMON + 1) + t.cls[at].astype(np.uint64)) << _u(32)) | np.arange(len(at), dtype=np.uint64)
+        code = self.code
+        key = ((t.cls[at] * len(code.order) + code.place.take(t.id[at])).astype(np.uint64) << _u(32)) | np.arange(len(at), dtype=np.uint64)
         key.sort()
         back, pair = (key & _u(0xFFFFFFFF)).astype(np.int64), (key >> _u(32)).astype(np.int64)
         head = np.append(True, pair[1:] != pair[:-1])
         which, pair = np.cumsum(head) - 1, pair[head]
-        times = np.bincount(which)
-        if learn:  # in random order, else a step would see one part of the code only
-            order = np.random.default_rng(len(pair)).permutation(len(pair))
-            pair, times = pair[order], times[order]
-        word, cls, cost, slice_ = pair // (COMMON + 1), pair % (COMMON + 1), np.zeros(len(pair)), 1 << 14
-        for a in range(0, len(pair), slice_):
-            owner, node, bit = _steps(self.code.steps, word[a : a + slice_])
-            slots = [node, _slots(STEPS[1], cls[a : a + slice_].take(owner), node)]
-            level = self.steps.levels(1, slots[1])
-            gate = level * 7 + self.steps.levels(0, node)
-            if learn:
-                self.steps.learn(slots, gate, level, bit, times[a : a + slice_].take(owner).astype(np.float32))
-            else:
-                cost[a : a + slice_] = np.bincount(owner, weights=self.steps.score(slots, gate, level, bit), minlength=len(word[a : a + slice_]))
+        cls = pair // len(code.order)
+        nodes = _nodes(code.steps, code.order.take(pair - cls * len(code.order)), cls)
+        if learn:
+            until, steps = np.concatenate([[0], np.cumsum(np.bincount(which))]), []
+            for some, runs, bit, heads, node in nodes:
+                first = until.take(some.take(runs))  # symbols with a step at a node are neighbours
+                n = until.take(some.take(np.append(runs[1:], len(some)) - 1) + 1) - first
+                total = np.add.reduceat(n, heads)
+                zeros = np.where(bit.take(heads) == 1, 0, n.take(heads))
+                steps.append([x.astype(np.int32) for x in (cls.take(some.take(runs.take(heads))), node, total - zeros, zeros)])
+            if steps:  # nodes of all depths and common words in each slice, else it would see one part of the code only
+                group, node, ones, zeros = map(np.concatenate, zip(*steps))
+                slices = -(-len(node) // STEP)
+                for i in range(slices):
+                    part = slice(i, None, slices)
+                    self.steps.learn(*self._contexts(group[part].astype(np.int64), node[part].astype(np.int64)), ones[part].astype(np.int64), zeros[part].astype(np.int64))
+            return
+        cost = np.zeros(len(pair))
+        for some, runs, bit, heads, node in nodes:
+            p = self.steps.chance(*self._contexts(cls.take(some.take(runs.take(heads))), node)).repeat(np.diff(heads, append=len(runs)))
+            cost[some] += np.log10(np.abs(p - (1 - bit))).repeat(np.diff(runs, append=len(some)))
         out[at[back]] += cost[which]
 
+    def _contexts(self, group: np.ndarray, node: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Slots, gates and rows of the map for steps at nodes."""
+        slots = [node, _slots(STEPS[1], group, node)]
+        level = self.steps.levels(1, slots[1])
+        return slots, level * 7 + self.steps.levels(0, node), level
+
     def _spell(self, t: Tokens, at: np.ndarray, out: np.ndarray, learn: bool) -> None:
         sizes = t.size[at] + 1
         for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(sizes) >> 15)) + 1):  # about 32 KB at a time
@@ -520,8 +565,13 @@ class Model:
         owner, node, bit = _steps(self.code.letters, self.code.rank[last[0].astype(np.int64), data])
         slots, step = [], node.astype(np.uint64) * _u(_START)
         for b, c in zip(LETTERS, contexts):
-            x = (_mix(c).take(owner) + step) * _M2
-            slots.append((((x ^ (x >> _u(29))) * _M1) >> _u(64 - b)).astype(np.int64))
+            x = _mix(c).take(owner)
+            x += step
+            x *= _M2
+            x ^= x >> _u(29)
+            x *= _M1
+            x >>= _u(64 - b)
+            slots.append(x.view(np.int64))
         return word.take(owner), slots, bit
 
     # shards
@@ -565,22 +615,31 @@ class Model:
         """Small enough to be sent to every task: half precision, compressed; the code goes by itself."""
         for layer in self.layers:
             layer.stretched = [x.astype(np.float16) for x in layer.stretched]
-        return {"data": zlib.compress(pickle.dumps({k: v for k, v in self.__dict__.items() if k != "code"}, pickle.HIGHEST_PROTOCOL), 1)}
+        return {"data": _squeeze({k: v for k, v in self.__dict__.items() if k != "code"})}
 
     def __setstate__(self, state: dict):
-        self.__dict__ = pickle.loads(zlib.decompress(state["data"]))
+        self.__dict__ = _stretch(state["data"])
         for layer in self.layers:
             layer.stretched = [x.astype(np.float32) for x in layer.stretched]
 
 
+def _squeeze(x: dict) -> bytes:
+    data = pickle.dumps(x, pickle.HIGHEST_PROTOCOL)
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _stretch(data: bytes) -> dict:
+    return pickle.loads(pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), "zstd"))
+
+
 def _pack(**arrays: np.ndarray) -> bytes:
     """Whole numbers are kept in the smallest type that holds them."""
     small = {k: v.astype(np.min_scalar_type(int(v.max(initial=0)))) if v.dtype.kind in "iu" and v.min(initial=0) >= 0 else v for k, v in arrays.items()}
-    return zlib.compress(pickle.dumps(small, pickle.HIGHEST_PROTOCOL), 1)
+    return _squeeze(small)
 
 
 def _unpack(data: bytes) -> dict[str, np.ndarray]:
-    return {k: v.astype(np.int64) if v.dtype.kind in "iu" else v for k, v in pickle.loads(zlib.decompress(data)).items()}
+    return {k: v.astype(np.int64) if v.dtype.kind in "iu" else v for k, v in _stretch(data).items()}
 
 
 def add_blocks(kind: str, parts: list[bytes]) -> bytes:
@@ -623,8 +682,8 @@ def _texts(batches: Iterator[pa.RecordBatch], *columns: int) -> Iterator[tuple]:
     """The texts of the last column as lower-case bytes, with other columns of their rows."""
     for batch in batches:
         others = [batch.column(i).to_pylist() for i in columns]
-        for text, *rest in zip(batch.column(batch.num_columns - 1), *others):
-            yield (text.as_py() or "").encode("utf-8", "replace").lower(), *rest
+        for text, *rest in zip(batch.column(batch.num_columns - 1).cast(pa.binary()), *others):
+            yield (text.as_py() or b"").lower(), *rest
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -129,6 +129,30 @@ def test_weights_and_map_learn_from_every_decision():
         assert layer.map.sum() == pytest.approx(layer.n, rel=1e-4)
 
 
+def test_nodes_that_words_share_are_done_once():
+    """Against each word's own steps: counts, weights' decisions and scores agree, and a node after a common word is one row for all words below it."""
+    rng = np.random.default_rng(8)
+    words, p = [b"w%d" % i for i in range(3000)], 1 / np.arange(1, 3001)
+    texts = [b" ".join(rng.choice(words, 400, p=p / p.sum()).tolist()) for _ in range(50)]
+    counts = Counter(w for t in texts for w in [*t.split(), b""])
+    model = mixing.Model(mixing.Code(*zip(*sorted(counts.items(), key=lambda x: (-x[1], x[0]))), 0))
+    t, layer, rows = mixing.Tokens(texts, model.code, True), model.steps, []
+    owner, node, bit = mixing._steps(model.code.steps, t.id)
+    slots = [node, mixing._slots(mixing.STEPS[1], t.cls[owner], node)]
+    layer.settle()
+    layer.learn = lambda slots, gate, row, *answers: rows.append(len(gate)) or mixing.Layer.learn(layer, slots, gate, row, *answers)
+    every = np.arange(len(t.id))
+    model._code(t, every, np.zeros(len(every)), True)
+    assert sum(rows) == len(np.unique(t.cls[owner] << 32 | node)) < len(node) / 4
+    for c, s in zip(layer.count, slots):
+        assert c.tolist() == np.bincount(2 * s + bit, minlength=len(c)).tolist()
+    assert layer.n == len(node) and layer.map[1::2].sum() == pytest.approx(bit.sum(), rel=1e-4)
+    layer.settle()
+    got, level = np.zeros(len(every)), layer.levels(1, slots[1])
+    model._code(t, every, got, False)
+    assert np.allclose(got, np.bincount(owner, layer.score(slots, level * 7 + layer.levels(0, node), level, bit)), atol=1e-9)
+
+
 def test_words_are_found_by_all_their_bytes(monkeypatch):
     """Against a dictionary: equal beginnings, zeros, long words, the empty one; also where all hashes collide."""
     rng = np.random.default_rng(7)
