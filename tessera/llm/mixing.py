@@ -682,7 +682,7 @@ def _texts(batches: Iterator[pa.RecordBatch], *columns: int) -> Iterator[tuple]:
     """The texts of the last column as lower-case bytes, with other columns of their rows."""
     for batch in batches:
         others = [batch.column(i).to_pylist() for i in columns]
-        for text, *rest in zip(batch.column(batch.num_columns - 1).cast(pa.binary()), *others):
+        for text, *rest in zip(batch.column(batch.num_columns - 1).cast(pa.large_binary()), *others):
             yield (text.as_py() or b"").lower(), *rest
 
 
